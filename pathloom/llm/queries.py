@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .line_quality import fit_line_model, line_quality
 from .near_dup import near_duplicates
+from .pii import pii_report
+from .secrets import secret_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = fit_line_model(documents, _table(spark, sf_dir, "labels"))
@@ -26,6 +36,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bootstrapped_pii": op2_bootstrapped_pii,
+        "op8_entropy_secrets": op8_entropy_secrets,
         "op9_line_quality": op9_line_quality,
         "op10_near_duplicates": op10_near_duplicates,
     }
