@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .line_quality import fit_line_model, line_quality
 from .near_dup import near_duplicates
+from .packing import PackConfig, pack
 from .pii import pii_report
+from .scratch import new_folder
 from .secrets import secret_report
+from .token_files import TokenFileConfig, read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +24,28 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pack_digest(documents: DataFrame) -> DataFrame:
+    """The packed pieces with a checksum in place of their ids."""
+    pieces = pack(documents, PackConfig(tokenizer_path()))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    manifest = write_token_files(_table(spark, sf_dir, "documents"), folder, TokenFileConfig(tokenizer_path()))
+    return read_token_files(manifest, folder)
+
+
 def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +63,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
+        "op4_dp_packing": op4_dp_packing,
+        "op7_token_files": op7_token_files,
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_line_quality": op9_line_quality,
         "op10_near_duplicates": op10_near_duplicates,
