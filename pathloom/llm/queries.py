@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import CONTROLS, chat_report
 from .line_quality import fit_line_model, line_quality
 from .near_dup import near_duplicates
 from .packing import PackConfig, pack
@@ -40,6 +41,15 @@ def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(_table(spark, sf_dir, "documents"))
 
 
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat_report(turns.unionByName(probe))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     manifest = write_token_files(_table(spark, sf_dir, "documents"), folder, TokenFileConfig(tokenizer_path()))
@@ -64,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op4_dp_packing": op4_dp_packing,
+        "op5_reply_trees": op5_reply_trees,
         "op7_token_files": op7_token_files,
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_line_quality": op9_line_quality,
@@ -71,5 +82,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _op5_sql() -> str:
+    quoted = ", ".join("'" + c + "'" for c in CONTROLS)
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}')
+), marked AS (
+  SELECT *, CASE WHEN regexp_full_match(role, '[A-Za-z0-9_-]+') AND NOT starts_with(role, 'x-') THEN length(role)
+                 ELSE 2 + 2 * strlen(role) END AS role_chars,
+    length(text) + length(text) - length(replace(text, chr(92), ''))
+      + list_sum(list_transform([{quoted}], lambda c: (length(text) - length(replace(text, c, ''))) // length(c))) AS text_chars
+  FROM turns
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + role_chars + 1 + text_chars + 11)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_reply_trees": _op5_sql()}
