@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import CONTROLS, chat_report
+from .licenses import scan_licenses
 from .line_quality import fit_line_model, line_quality
 from .near_dup import near_duplicates
 from .packing import PackConfig, pack
@@ -50,6 +51,10 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_report(turns.unionByName(probe))
 
 
+def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     manifest = write_token_files(_table(spark, sf_dir, "documents"), folder, TokenFileConfig(tokenizer_path()))
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op4_dp_packing": op4_dp_packing,
         "op5_reply_trees": op5_reply_trees,
+        "op6_diagonal_licenses": op6_diagonal_licenses,
         "op7_token_files": op7_token_files,
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_line_quality": op9_line_quality,
