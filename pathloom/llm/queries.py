@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import CONTROLS, chat_report
 from .licenses import scan_licenses
 from .line_quality import fit_line_model, line_quality
+from .mtree import top_k
 from .near_dup import near_duplicates
 from .packing import PackConfig, pack
 from .pii import pii_report
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return top_k(vectors, vectors.where("id % 20 = 0"))
+
+
 def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +83,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mtree_top_k": op1_mtree_top_k,
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
         "op4_dp_packing": op4_dp_packing,
         "op5_reply_trees": op5_reply_trees,
@@ -109,5 +116,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM marked GROUP BY conv_id"""
 
 
+_OP1_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_trees": _op5_sql()}
+    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql()}
