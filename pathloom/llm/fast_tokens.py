@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
@@ -49,27 +50,16 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
-class FastEncoder:
-    """Ids of texts by one tokenizer file whose pre-tokeniser is the byte-level one."""
+class WordTable:
+    """Ids of the words met so far, by the words' hashes, in open addressing."""
 
     #: Distinct words that a worker remembers; beyond, it starts afresh.
     WORDS = 1 << 20
 
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def __init__(self) -> None:
+        self.forget()
 
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        before = spec["pre_tokenizer"] or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.by_words = bool(plain and not spec["normalizer"] and spec["model"]["type"] == "BPE" and not spec["post_processor"])
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.size = self.library.get_vocab_size()
-        self._forget()
-
-    def _forget(self, coming: int = 0) -> None:
+    def forget(self, coming: int = 0) -> None:
         size = 2 << max(self.WORDS, coming).bit_length()
         self.keys = np.zeros(size, np.uint64)
         self.places = np.zeros(size, np.int32)
@@ -78,31 +68,27 @@ class FastEncoder:
         self.ids = np.zeros(1 << 18, np.uint32)
 
     def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each hash its slot in the table, or the free one where its probing ends."""
-        mask = np.uint64(len(self.keys) - 1)
-        slots = (hashes & mask).astype(np.int64)
+        """For each hash its slot, or the free one where its probing ends."""
+        mask = len(self.keys) - 1
+        slots = (hashes & np.uint64(mask)).astype(np.int64)
         found = self.keys[slots]
         open_ = np.flatnonzero((found != hashes) & (found != 0))
         while len(open_):
-            slots[open_] = (slots[open_] + 1) & int(mask)
+            slots[open_] = (slots[open_] + 1) & mask
             found[open_] = self.keys[slots[open_]]
             open_ = open_[(found[open_] != hashes[open_]) & (found[open_] != 0)]
         return slots, found == hashes
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        split = self.library.model.tokenize
-        encoded = [[t.id for t in split(w.encode().decode("latin-1").translate(_BYTE_SIGNS))] for w in words]
-        counts = np.array([len(e) for e in encoded], np.int64)
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(counts.sum()))
+    def _add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
         last = int(self.ends[self.known])
-        while len(self.ends) < self.known + len(words) + 1:
+        while len(self.ends) < self.known + len(counts) + 1:
             self.ends = np.append(self.ends, np.zeros_like(self.ends))
         while len(self.ids) < last + len(flat):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         self.ids[last : last + len(flat)] = flat
-        self.ends[self.known + 1 : self.known + len(words) + 1] = last + np.cumsum(counts)
-        numbers = np.arange(self.known, self.known + len(words), dtype=np.int32)
-        self.known += len(words)
+        self.ends[self.known + 1 : self.known + len(counts) + 1] = last + np.cumsum(counts)
+        numbers = np.arange(self.known, self.known + len(counts), dtype=np.int32)
+        self.known += len(counts)
         while len(hashes):
             slots, _ = self._slots(hashes)
             _, first = np.unique(slots, return_index=True)
@@ -112,6 +98,47 @@ class FastEncoder:
             rest[first] = False
             hashes, numbers = hashes[rest], numbers[rest]
 
+    def look_up(self, hashes: np.ndarray, learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and where each word's begin.
+
+        ``learn`` gets the indices of new words, one of each, and returns how
+        many ids each has and all of them.
+        """
+        hashes = hashes | np.uint64(1)
+        slots, hit = self._slots(hashes)
+        if not hit.all():
+            miss = np.flatnonzero(~hit)
+            new, first = np.unique(hashes[miss], return_index=True)
+            if self.known + len(new) > self.WORDS:
+                new, first = np.unique(hashes, return_index=True)
+                self.forget(len(new))
+                miss = np.arange(len(hashes))
+            self._add(new, *learn(miss[first]))
+            slots, _ = self._slots(hashes)
+        numbers = self.places[slots]
+        low = self.ends[numbers]
+        many = self.ends[numbers + 1] - low
+        before = np.append(0, np.cumsum(many))
+        return self.ids[np.repeat(low - before[:-1], many) + np.arange(before[-1])], before
+
+
+class FastEncoder:
+    """Ids of texts by one tokenizer file whose pre-tokeniser is the byte-level one."""
+
+    def __init__(self, path: str) -> None:
+        self.table = WordTable()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+        self.by_words = bool(plain and not spec["normalizer"] and spec["model"]["type"] == "BPE" and not spec["post_processor"])
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.size = self.library.get_vocab_size()
+
     def encode(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of the UTF-8 buffer, and how many each row has."""
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -180,25 +207,15 @@ class FastEncoder:
     def _by_words(self, text: str, codes: np.ndarray, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self._word_starts(codes, classes, bounds)
         ends = np.append(starts[1:], len(codes))[: len(starts)]
-        hashes = span_hashes(codes, starts, ends) | np.uint64(1)
-        slots, hit = self._slots(hashes)
-        if not hit.all():
-            miss = np.flatnonzero(~hit)
-            new, first = np.unique(hashes[miss], return_index=True)
-            if self.known + len(new) > self.WORDS:
-                new, first = np.unique(hashes, return_index=True)
-                self._forget(len(new))
-                miss = np.arange(len(hashes))
-            at = miss[first]
-            self._learn(new, [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            slots, _ = self._slots(hashes)
-        numbers = self.places[slots]
-        low = self.ends[numbers]
-        many = self.ends[numbers + 1] - low
-        before = np.append(0, np.cumsum(many))
-        ids = self.ids[np.repeat(low - before[:-1], many) + np.arange(before[-1])]
-        per_row = before[np.searchsorted(starts, bounds)]
-        return ids, np.diff(per_row)
+
+        def learn(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            split = self.library.model.tokenize
+            words = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            encoded = [[t.id for t in split(w.encode().decode("latin-1").translate(_BYTE_SIGNS))] for w in words]
+            return np.array([len(e) for e in encoded], np.int64), np.array([i for e in encoded for i in e], np.uint32)
+
+        ids, before = self.table.look_up(span_hashes(codes, starts, ends), learn)
+        return ids, np.diff(before[np.searchsorted(starts, bounds)])
 
 
 _ENCODERS: dict[str, FastEncoder] = {}

@@ -13,6 +13,7 @@ from .line_quality import fit_line_model, line_quality
 from .mtree import top_k
 from .near_dup import near_duplicates
 from .packing import PackConfig, pack
+from .pieces import piece_report
 from .pii import pii_report
 from .scratch import new_folder
 from .secrets import secret_report
@@ -44,6 +45,10 @@ def pack_digest(documents: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_report(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mtree_top_k": op1_mtree_top_k,
         "op2_bootstrapped_pii": op2_bootstrapped_pii,
+        "op3_suffix_array_pieces": op3_suffix_array_pieces,
         "op4_dp_packing": op4_dp_packing,
         "op5_reply_trees": op5_reply_trees,
         "op6_diagonal_licenses": op6_diagonal_licenses,

@@ -40,8 +40,7 @@ def test_fast_ids_are_the_librarys(library):
     texts = ODD_TEXTS + ["<|endoftext|> inside", "'re''re x''s's 90's 'ſ", "\r\n\r\n x", "a\x85b\xa0c"]
     texts += ["".join(rng.choice(letters, 40)) for _ in range(2000)]
     found = FastEncoder(PATH)
-    found.WORDS = 1 << 9  # forgets on the way
-    found._forget()
+    found.table.WORDS = 1 << 9  # forgets on the way
     data, rows = column_bytes(pa.array(texts))
     ids, counts = found.encode(data, rows)
     ends = np.append(0, np.cumsum(counts))
