@@ -60,7 +60,7 @@ class WordTable:
         self.forget()
 
     def forget(self, coming: int = 0) -> None:
-        size = 2 << max(self.WORDS, coming).bit_length()
+        size = 2 << (max(self.WORDS, coming) - 1).bit_length()
         self.keys = np.zeros(size, np.uint64)
         self.places = np.zeros(size, np.int32)
         self.known = 0
