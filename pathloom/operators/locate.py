@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_hash, snippet
 from .decide import cosine, hash_embed
@@ -98,7 +99,7 @@ def folded_evidence(text: str, quote: str) -> tuple[int, int] | None:
     return (m.start(), m.end()) if m else None
 
 
-@F.pandas_udf("start int, end int")
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 def find_evidence(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
     found = [folded_evidence(t or "", q or "") or (None, None) for t, q in zip(texts, quotes)]
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")

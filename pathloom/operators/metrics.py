@@ -225,7 +225,7 @@ def reciprocal_rank_fusion(rankings: DataFrame, constant: int = 60) -> DataFrame
 
 
 def first_per_document(rankings: DataFrame) -> DataFrame:
-    place = Window.partitionBy("question_id").orderBy("best")
+    place = Window.partitionBy("question_id").orderBy("best", "key")
     best = rankings.groupBy("question_id", "key").agg(F.min("rank").alias("best"))
     return best.select("question_id", "key", F.row_number().over(place).cast("int").alias("rank"))
 

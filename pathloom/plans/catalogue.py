@@ -542,14 +542,14 @@ def dense_topk(t):
 
 def order_rankings(t) -> DataFrame:
     """Two rankings of each order's parts, by price and by quantity."""
-    price = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    many = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber")
+    price = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey")
+    many = Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"), "l_linenumber", "l_partkey")
     rows = t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(price).alias("by_price"), F.row_number().over(many).alias("by_quantity"))
     both = F.explode(F.array(F.struct(F.lit("price").alias("method"), F.col("by_price").alias("rank")), F.struct(F.lit("quantity").alias("method"), F.col("by_quantity").alias("rank"))))
     return rows.select(F.col("l_orderkey").alias("question_id"), F.col("l_partkey").alias("key"), both.alias("r")).select("question_id", "r.method", "r.rank", "key")
 
 
-_RANKINGS_SQL = """WITH b AS (SELECT l_orderkey AS question_id, l_partkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS bp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS bq FROM lineitem),
+_RANKINGS_SQL = """WITH b AS (SELECT l_orderkey AS question_id, l_partkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS bp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS bq FROM lineitem),
 rankings AS (SELECT question_id, 'price' AS method, bp AS rank, key FROM b UNION ALL SELECT question_id, 'quantity', bq, key FROM b),
 best AS (SELECT question_id, method, key, min(rank) AS rank FROM rankings GROUP BY ALL)
 """
@@ -560,7 +560,7 @@ def rrf_keys(t):
     return rounded(metrics.reciprocal_rank_fusion(order_rankings(t)), 9)
 
 
-@query("first_per_document", "WITH c AS (SELECT o_custkey AS question_id, l_partkey AS key, l_orderkey * 10 + l_linenumber AS rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey), m AS (SELECT question_id, key, min(rank) AS best FROM c GROUP BY ALL) SELECT question_id, key, row_number() OVER (PARTITION BY question_id ORDER BY best)::INTEGER AS rank FROM m")
+@query("first_per_document", "WITH c AS (SELECT o_custkey AS question_id, l_partkey AS key, l_orderkey * 10 + l_linenumber AS rank FROM lineitem JOIN orders ON l_orderkey = o_orderkey), m AS (SELECT question_id, key, min(rank) AS best FROM c GROUP BY ALL) SELECT question_id, key, row_number() OVER (PARTITION BY question_id ORDER BY best, key)::INTEGER AS rank FROM m")
 def first_per_document(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("question_id"), F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"))
     return metrics.first_per_document(rows)
