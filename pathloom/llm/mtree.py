@@ -28,11 +28,13 @@ class SearchConfig:
     k: int = 20
     #: Components are turned into floor(scale * x).
     scale: float = 64.0
-    #: Candidates of a block, queries that search it in one task.
-    block: int = 2048
+    #: Candidates of a block, and how many blocks there are at least, so that few
+    #: candidates are searched in parallel too; queries that search a block in one task.
+    block: int = 8192
+    min_blocks: int = 8
     queries: int = 256
     #: Entries of a page.
-    page: int = 128
+    page: int = 256
     fanout: int = 16
 
 
@@ -70,15 +72,77 @@ class MTree:
             return node
         # routing vectors far from each other; every row goes to its nearest
         nearest, owner = gaps, np.zeros(len(rows), np.int64)
-        for i in range(1, self.config.fanout):
+        fanout = max(2, min(self.config.fanout, -(-4 * len(rows) // (3 * self.config.page))))
+        for i in range(1, fanout):
             own = np.sqrt(((self.points[rows] - self.points[rows[int(nearest.argmax())]]) ** 2).sum(1))
             owner[own < nearest] = i
             nearest = np.minimum(nearest, own)
         if (owner == owner[0]).all():  # equal vectors: pages of even size
-            owner = np.arange(len(rows)) * self.config.fanout // len(rows)
+            owner = np.arange(len(rows)) * fanout // len(rows)
         node.children = [self._build(rows[owner == i], center) for i in np.unique(owner)]
         return node
 
+    def leaves(self, node: Node | None = None) -> list[Node]:
+        node = node or self.root
+        return [leaf for child in node.children for leaf in self.leaves(child)] if node.children else [node]
+
+    def search_many(self, queries: np.ndarray, own_ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same as ``search`` for many queries.
+
+        Each query still opens pages in the order of its lower bounds, in waves
+        of 1, 3, 12, ... pages; queries at one page share a matrix product over
+        the entries that the triangle inequality leaves to any of them.
+        """
+        k, n = self.config.k, len(self.ids)
+        with np.errstate(over="ignore"):
+            lengths = (queries * queries).sum(1)
+        wide = 1 << max(1, int(n).bit_length())
+        if not (self.exact and float(lengths.max(initial=0.0)) * self.limit < (2.0**60 / wide) ** 2 and float(lengths.max(initial=0.0)) < 2.0**52):
+            return [self.search(q, int(i)) for q, i in zip(queries, own_ids)]
+        # one integer for score and id: larger is better, ties go to the smaller id
+        by_id = np.argsort(self.ids, kind="stable")
+        place = np.empty(n, np.int64)
+        place[by_id] = np.arange(n)
+        pages = self.leaves()
+        centers = np.array([page.center for page in pages])
+        points = np.hstack([queries, np.zeros((len(queries), 1))])
+        gaps = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (centers**2).sum(1)[None] - 2 * points @ centers.T))
+        self.computed += gaps.size
+        low = np.maximum(0, gaps - np.array([page.radius for page in pages])[None])
+        rank = np.argsort(np.argsort(low, axis=1, kind="stable"), axis=1, kind="stable")
+        never = np.iinfo(np.int64).min
+        best = np.full((len(queries), k), never)
+        reach = np.full(len(queries), np.inf)
+        slack = self.slack + 1e-6 * np.sqrt(lengths)
+        first, last = 0, 1
+        while first < len(pages):
+            for j, page in enumerate(pages):
+                asks = np.flatnonzero((rank[:, j] >= first) & (rank[:, j] < last) & (low[:, j] <= reach + slack))
+                if not len(asks):
+                    continue
+                span = (reach + slack)[asks]
+                a, b = np.searchsorted(page.gaps, ((gaps[asks, j] - span).min(), (gaps[asks, j] + span).max()))
+                rows = page.rows[a:b]
+                if not len(rows):
+                    continue
+                self.computed += len(asks) * len(rows)
+                keys = (queries[asks] @ self.vectors[rows].T).astype(np.int64) * wide - place[rows]
+                keys[self.ids[rows][None] == own_ids[asks][:, None]] = never
+                better = np.flatnonzero(keys.max(1) > best[asks, 0])
+                if len(better):
+                    both = np.hstack([best[asks[better]], keys[better]])
+                    best[asks[better]] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+            full = best[:, 0] != never
+            kth = -((-best[full, 0]) // wide)
+            reach[full] = np.sqrt(np.maximum(0, lengths[full] + self.limit - 2 * kth.astype(float)))
+            first, last = last, last * 4
+        out = []
+        for own in best:
+            keys = own[own != never][::-1]
+            scores = -((-keys) // wide)
+            out.append((self.ids[by_id[scores * wide - keys]], scores))
+        return out
+
     def search(self, query: np.ndarray, own_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best entries other than ``own_id``, ties to smaller ids."""
         k = self.config.k
@@ -152,30 +216,42 @@ def _whole(config: SearchConfig):
 
 def _search(config: SearchConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, names, tree = None, [], [], None
+        now, held, names, asked = None, [], [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            if not (held and asked):
+                return
+            tree = MTree(np.array(held), np.array(names, np.int64), config)
+            keys, ids, vectors = zip(*asked)
+            # a query without an id excludes nothing: no candidate has the smallest id
+            own = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
+            found = tree.search_many(np.array(vectors), own)
+            many = [len(f) for f, _ in found]
+            yield pa.record_batch(
+                [
+                    pa.array(np.repeat(np.array(keys, np.int64), many)),
+                    pa.array([i for i, n in zip(ids, many) for _ in range(n)], pa.int64()),
+                    pa.array(np.concatenate([f for f, _ in found])),
+                    pa.array(np.concatenate([x for _, x in found])),
+                ],
+                names=["key", "query_id", "vec_id", "score"],
+            )
+
         for batch in batches:
             groups = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "part"))))
             sides, ids, keys = (batch.column(c).to_pylist() for c in ("asks", "id", "key"))
             vectors = batch.column("vector")
-            out = ([], [], [], [])
             for i, group in enumerate(groups):
                 if group != now:
-                    now, held, names, tree = group, [], [], None
+                    yield from answers()
+                    now, held, names, asked = group, [], [], []
                 vector = np.frombuffer(vectors[i].as_py(), "<f8")
-                if not sides[i]:
+                if sides[i]:
+                    asked.append((keys[i], ids[i], vector))
+                else:
                     held.append(vector)
                     names.append(ids[i])
-                    continue
-                if tree is None and held:
-                    tree = MTree(np.array(held), np.array(names, np.int64), config)
-                if tree is not None:
-                    found, scores = tree.search(vector, ids[i])
-                    out[0].extend([keys[i]] * len(found))
-                    out[1].extend([ids[i]] * len(found))
-                    out[2].append(found)
-                    out[3].append(scores)
-            if out[0]:
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]))], names=["key", "query_id", "vec_id", "score"])
+        yield from answers()
 
     return run
 
@@ -196,8 +272,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, config: SearchConfig = Sear
 
     held = plain(candidates).where("id is not null")
     asked = settle(plain(queries).withColumn("key", F.monotonically_increasing_id()))
-    blocks = F.ceil(F.greatest(F.lit(held.count()), F.lit(1)) / config.block).cast("int")
-    parts = F.ceil(F.greatest(F.lit(asked.count()), F.lit(1)) / config.queries).cast("int")
+    blocks = F.lit(max(config.min_blocks, -(-held.count() // config.block)))
+    parts = F.lit(max(1, -(-asked.count() // config.queries)))
     # blocks of candidates meet parts of the queries, each pair in a group of its own
     left = held.select(F.lit(False).alias("asks"), "dim", F.pmod(F.xxhash64("id", "vector"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", F.lit(0).cast("long").alias("key"), "vector")
     right = asked.select(F.lit(True).alias("asks"), "dim", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "id", "key", "vector")
