@@ -11,7 +11,7 @@ from .chat import CONTROLS, chat_report
 from .licenses import scan_licenses
 from .line_quality import fit_line_model, line_quality
 from .mtree import top_k
-from .near_dup import near_duplicates
+from .near_dup import THREE_WORDS, near_duplicates
 from .packing import PackConfig, pack
 from .pieces import piece_report
 from .pii import pii_report
@@ -83,7 +83,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), THREE_WORDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -135,5 +135,20 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 
+_OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM worded
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets
+), grams AS (SELECT doc_id, unnest(s) AS g FROM sets
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id, doc_id AS node FROM sizes UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.node)
+SELECT doc_id, n::BIGINT AS n_shingles, min(node) AS component_id, doc_id = min(node) AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql()}
+    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op10_near_duplicates": _OP10_SQL}
