@@ -76,3 +76,29 @@ def write_results(scores: DataFrame, summary: DataFrame, path: str) -> None:
 def status(documents: DataFrame) -> DataFrame:
     """Documents of each source, and those of which only the hash is kept."""
     return documents.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("hash_only"))
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def write_version(path: str, frames: dict[str, DataFrame]) -> int:
+    """All frames as the next version of a folder, visible at once; earlier versions stay readable."""
+    spark = next(iter(frames.values())).sparkSession
+    number = max(versions(spark, path), default=0) + 1
+    own = f"{path.rstrip('/')}/.{uuid.uuid4().hex}"
+    for name, frame in frames.items():
+        frame.write.parquet(f"{own}/{name}")
+    fs, target = _fs(spark, f"{path.rstrip('/')}/v{number}")
+    if not fs.rename(_fs(spark, own)[1], target):
+        raise FileExistsError(f"{path}/v{number}")
+    return number
+
+
+def read_version(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    last = max(versions(spark, path))
+    return {n: spark.read.parquet(f"{path.rstrip('/')}/v{last}/{n}") for n in names}
