@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import decide, ingest, link, locate, metrics, mutate, walk
+from ..operators import decide, ingest, link, locate, metrics, mutate, options, reports, walk
 from ..operators.graph import elements_from
 from ..sources import datasets
 from ..sources import snapshot
@@ -814,4 +814,99 @@ def triple_passages(t):
 
 @query("anonymised_triples", GRAPH_SQL + "SELECT DISTINCT 'Entity ' || substr(sha256('s' || chr(31) || source), 1, 6) AS subject, type AS relation, 'Entity ' || substr(sha256('s' || chr(31) || target), 1, 6) AS object FROM edges")
 def anonymised_triples(t):
-    return datasets.anonymised(triples(t).distinct(), "s")[0].distinct()
+    return datasets.anonymised(triples(t, distinct=True), "s")[0].distinct()
+
+
+# --- decisions and reports ----------------------------------------------------
+
+@query("opaque_labels", "WITH o AS (SELECT DISTINCT l_suppkey::VARCHAR AS q, l_partkey AS ord FROM lineitem) SELECT q, ord, 'o' || row_number() OVER (PARTITION BY q ORDER BY ord) AS label FROM o")
+def opaque_labels(t):
+    return options.opaque_labels(supplier_options(t)).select("q", "ord", "label")
+
+
+@query("readable_labels", "WITH o AS (SELECT DISTINCT l_suppkey::VARCHAR AS q, l_partkey AS ord FROM lineitem), n AS (SELECT q, ord, p_name, row_number() OVER (PARTITION BY q, p_name ORDER BY ord) AS n FROM o JOIN part ON p_partkey = ord) SELECT q, ord, CASE WHEN n > 1 THEN p_name || ' #' || n ELSE p_name END AS label FROM n")
+def readable_labels(t):
+    named = supplier_options(t).drop("key").join(t.part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("key")), "ord")
+    return options.readable_labels(named.withColumn("rel", F.lit("supplied_by"))).select("q", "ord", "label")
+
+
+@query("cap_by_similarity", """WITH s AS (SELECT a.label::VARCHAR AS q, a.vec_id AS ord, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) b USING (label)),
+r AS (SELECT *, count(*) OVER (PARTITION BY q) AS n, row_number() OVER (PARTITION BY q ORDER BY s DESC, ord) AS r FROM s) SELECT q, ord, round(s, 5) AS similarity FROM r WHERE r <= CASE WHEN n > 50 THEN 30 ELSE 255 END""")
+def cap_by_similarity(t):
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qv"))
+    rows = t.embeddings.join(first, "label").select(F.col("label").cast("string").alias("q"), F.lit(1).alias("beam"), F.col("vec_id").alias("ord"), F.col("embedding").alias("v"), "qv")
+    return rounded(options.cap_by_similarity(rows)[0].select("q", "ord", "similarity"), 5)
+
+
+@query("stop_gate", GRAPH_SQL + "SELECT id AS q, CASE WHEN type = 'order' THEN 2 ELSE 1 END::BIGINT AS options FROM nodes WHERE type IN ('order', 'customer')")
+def stop_gate(t):
+    nodes_ = star_graph(t).nodes.where("type in ('order', 'customer')").select(F.col("id").alias("q"), F.lit(1).alias("beam"), "type")
+    asked = nodes_.select("q", "beam", F.explode(F.array(F.lit("contains"), F.lit(decide.STOP))).alias("key"))
+    predicted = nodes_.select("q", F.lit("order").alias("type"), F.lit(0.9).alias("p"))
+    return options.gate_stop(asked, nodes_, predicted).groupBy("q").agg(F.count("*").alias("options"))
+
+
+@query("logprob_options", """WITH o AS (SELECT l_orderkey::VARCHAR AS q, l_partkey AS ord, sum(exp(-l_quantity / 10)) AS m FROM lineitem GROUP BY ALL), w AS (SELECT *, greatest(m, 0.000001) AS w FROM o) SELECT q, ord, round(w / sum(w) OVER (PARTITION BY q), 6) AS p FROM w""")
+def logprob_options(t):
+    rows = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("q"), F.col("l_partkey").alias("ord")).agg(F.collect_list(-F.col("l_quantity") / 10).alias("logprobs")).withColumn("beam", F.lit(1))
+    return rounded(options.from_logprobs(rows).select("q", "ord", "p"))
+
+
+@query("stated_scores", "WITH o AS (SELECT l_orderkey::VARCHAR AS q, l_partkey::VARCHAR AS label, max(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT q, label, round(w / sum(w) OVER (PARTITION BY q), 6) AS p FROM o")
+def stated_scores(t):
+    rows = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("q"), F.col("l_partkey").cast("string").alias("label")).agg(F.max("l_quantity").alias("s"))
+    reply = F.concat(F.lit('Scores: {"'), "label", F.lit('": '), F.col("s").cast("string"), F.lit("} as asked"))
+    return rounded(options.from_stated_scores(rows.select("q", F.lit(1).alias("beam"), F.lit(1).alias("ord"), "label", reply.alias("reply"))).select("q", "label", "p"))
+
+
+@query("voted_options", "WITH v AS (SELECT user_id::VARCHAR AS q, event_type AS label, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT q, label FROM (SELECT DISTINCT user_id::VARCHAR AS q FROM events), (SELECT DISTINCT event_type AS label FROM events)), w AS (SELECT o.q, o.label, coalesce(n, 0) + 0.1::DOUBLE AS w FROM o LEFT JOIN v ON v.q = o.q AND v.label = o.label) SELECT q, label, round(w / sum(w) OVER (PARTITION BY q), 6) AS p FROM w")
+def voted_options(t):
+    votes = t.events.select(F.col("user_id").cast("string").alias("q"), F.lit(1).alias("beam"), F.col("event_type").alias("label"))
+    kinds = F.broadcast(votes.select("label").distinct())  # the event types, a handful
+    asked = votes.select("q", "beam").distinct().crossJoin(kinds)
+    return rounded(options.from_votes(votes, asked).select("q", "label", "p"))
+
+
+@query("entity_recall", """WITH gold AS (SELECT DISTINCT c_custkey AS question_id, lower(n_name) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT p_partkey, lower(p_name) FROM part UNION SELECT c_custkey, lower(c_mktsegment) FROM customer),
+names AS (SELECT 'n:' || n_nationkey AS id, lower(n_name) AS key FROM nation UNION SELECT 'p:' || p_partkey, lower(p_name) FROM part), h AS (SELECT name, count(DISTINCT id) AS nodes FROM (SELECT DISTINCT name FROM gold) LEFT JOIN names ON key = name GROUP BY name)
+SELECT count(*)::BIGINT AS gold, count(*) FILTER (nodes > 0)::BIGINT AS found, count(*) FILTER (nodes > 1)::BIGINT AS split, 0::BIGINT AS over_merged, round(count(*) FILTER (nodes > 0) / count(*), 6) AS recall FROM h""")
+def entity_recall(t):
+    home = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    gold = home.select(F.col("c_custkey").alias("question_id"), F.explode(F.array(F.lower("n_name"), F.lower("c_mktsegment"))).alias("name")).unionByName(t.part.select(F.col("p_partkey").alias("question_id"), F.lower("p_name").alias("name")))
+    return rounded(reports.entity_recall(gold, star_graph(t).names.where("id like 'n:%' or id like 'p:%'")))
+
+
+@query("ingest_counters", "SELECT event_type AS kind, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS documents FROM events GROUP BY event_type")
+def ingest_counters(t):
+    return reports.ingest_counters(t.events.select(F.col("user_id").alias("document"), F.col("event_type").alias("kind")))
+
+
+@query("agent_table", "WITH r AS (SELECT o_orderpriority AS arm, o_orderkey, count(*) AS n, sum(l_quantity) AS tokens, sum(l_extendedprice) AS cost, avg(l_discount) AS f1, bool_or(l_returnflag = 'R') AS grounded FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) SELECT arm, count(*)::BIGINT AS n, round(avg(n), 4) AS turns, round(avg(tokens), 4) AS tokens, round(avg(cost), 4) AS cost, round(avg(f1), 4) AS f1, round(avg(CASE WHEN grounded THEN 1::DOUBLE ELSE 0 END), 4) AS grounded, round(avg(n), 4) AS tool_calls FROM r GROUP BY arm")
+def agent_table(t):
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    turns = rows.groupBy(F.col("o_orderpriority").alias("arm"), F.col("o_orderkey").alias("question_id")).agg(F.count("*").alias("turns"), F.sum("l_quantity").alias("tokens"), F.sum("l_extendedprice").alias("cost"), F.avg("l_discount").alias("f1"), F.bool_or(F.col("l_returnflag") == "R").alias("grounded"), F.collect_list("l_shipdate").alias("tools"))
+    return rounded(reports.agent_table(turns), 4)
+
+
+@query("groundedness", "SELECT doc_id AS question_id, CASE WHEN contains(lower(text), lower(lang)) THEN 1::DOUBLE ELSE 0::DOUBLE END AS grounded FROM documents")
+def groundedness(t):
+    return reports.groundedness(t.documents.select(F.col("doc_id").alias("question_id"), F.col("lang").alias("answer"), F.col("text").alias("output")))
+
+
+@query("stratified_sample")
+def stratified_sample(t):
+    return reports.seeded_sample(t.documents.select("doc_id", "lang"), 20, "doc_id", 7, ["lang"])
+
+
+@query("loose_accuracy")
+def loose_accuracy(t):
+    return t.part.select("p_partkey", reports.loose_accuracy(F.concat_ws(", ", "p_name", "p_brand"), F.split("p_name", " ")).alias("accuracy"))
+
+
+@query("linked_choice", f"""WITH {_PART_INDEX_SQL}, c AS (SELECT p_partkey AS q, id, row_number() OVER (PARTITION BY p_partkey ORDER BY id) AS rank FROM part JOIN idx ON key = array_to_string(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}_]+'), ' ')) SELECT q, max(id) AS id, 0.9::DOUBLE AS p FROM c WHERE rank <= 8 GROUP BY q""")
+def linked_choice(t):
+    keys = t.part.select(F.col("p_partkey").alias("q"), F.array_join(X.tokens(F.col("p_name")), " ").alias("key"))
+    place = Window.partitionBy("q").orderBy("id")
+    found = keys.join(part_index(t).select("key", "id"), "key").withColumn("rank", F.row_number().over(place)).select("q", "id", "rank")
+    decided = found.where("rank <= 8").groupBy("q").agg(F.max("id").alias("id")).withColumn("p", F.lit(0.9))
+    return options.choose_entry(found, decided)

@@ -42,11 +42,17 @@ KINDS = (
 )
 
 
-def triples(t: Tables) -> DataFrame:
-    """``(subject, relation, object)`` with repeats, as the tables have them."""
+def triples(t: Tables, distinct: bool = False) -> DataFrame:
+    """``(subject, relation, object)``, with repeats as the tables have them or without.
+
+    Only the line items repeat a pair of keys; the other tables need no shuffle.
+    """
     out = None
     for relation, table, (sp, sk), (op, ok) in FACTS:
-        own = getattr(t, table).select(node_id(sp, sk).alias("subject"), F.lit(relation).alias("relation"), node_id(op, ok).alias("object"))
+        keys = getattr(t, table).select(sk, ok)
+        if distinct and table == "lineitem":
+            keys = keys.distinct()
+        own = keys.select(node_id(sp, sk).alias("subject"), F.lit(relation).alias("relation"), node_id(op, ok).alias("object"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -61,7 +67,7 @@ def nodes(t: Tables) -> DataFrame:
 
 
 def star_graph(t: Tables) -> Graph:
-    edges = triples(t).distinct().select(F.col("subject").alias("source"), F.col("relation").alias("type"), F.col("object").alias("target"))
+    edges = triples(t, distinct=True).select(F.col("subject").alias("source"), F.col("relation").alias("type"), F.col("object").alias("target"))
     return Graph(nodes(t), edges)
 
 
