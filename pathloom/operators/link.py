@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 
@@ -14,6 +15,7 @@ STOP_WORDS = (
     "in is it its me my of on or our s she that the their them they this to was we were "
     "what when where which who whom whose why will with you your"
 ).split()
+_MENTIONS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("key", T.StringType())]))
 MAX_WORDS = 12
 MIN_NAME = 3
 
@@ -51,38 +53,51 @@ def mention_candidates(questions: DataFrame, index: DataFrame) -> DataFrame:
     return good.withColumn("r", F.row_number().over(longest)).where("r = 1").drop("r")
 
 
-def exact_mentions(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """Mentions that don't overlap, longer and then earlier ones first, with all their nodes: ``(q, pos, n, id)``.
-
-    Acceptance depends on what was accepted before, so each question's few
-    candidates are gone through in a function.
-    """
+@F.pandas_udf(_MENTIONS)
+def _accepted(candidates: pd.Series) -> pd.Series:
+    """Of each question's candidates those that overlap none accepted before, longer and then earlier first."""
 
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(rows) -> list[dict]:
         taken: set[int] = set()
-        rows = []
-        for r in pdf.sort_values(["n", "pos"], ascending=[False, True]).itertuples():
-            own = set(range(r.pos, r.pos + r.n))
+        out = []
+        for r in sorted(rows, key=lambda r: (-r["n"], r["pos"])):
+            own = set(range(r["pos"], r["pos"] + r["n"]))
             if not own & taken:
                 taken |= own
-                rows.append((r.q, r.pos, r.n, r.key))
-        return pd.DataFrame(rows, columns=["q", "pos", "n", "key"])
+                out.append({"pos": r["pos"], "n": r["n"], "key": r["key"]})
+        return out
+
+    return candidates.map(one)
 
-    candidates = mention_candidates(questions, index).select("q", F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), "key")
-    kinds = dict(candidates.dtypes)
-    kept = candidates.groupBy("q").applyInPandas(accept, f"q {kinds['q']}, pos int, n int, key string")
+
+def exact_mentions(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """Mentions that don't overlap, longer and then earlier ones first, with all their nodes: ``(q, pos, n, id)``.
+
+    Acceptance depends on what was accepted before, so each question's few
+    candidates are gone through in a function over arrays.
+    """
+    row = F.struct(F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), "key")
+    listed = mention_candidates(questions, index).groupBy("q").agg(F.collect_list(row).alias("c"))
+    kept = listed.select("q", F.explode(_accepted("c")).alias("m")).select("q", "m.*")
     return kept.join(index.select("key", "id").distinct(), "key").select("q", "pos", "n", "id")
 
 
 def fuzzy_candidates(questions: DataFrame, index: DataFrame, idf: DataFrame, top: int = 8) -> DataFrame:
     """Names by the squared matched share of their words' weights, the best per node: ``(q, id, score, rank)``."""
-    weights = idf.select("word", "idf")
-    posted = index.select("id", "key", F.explode(content_words(F.col("key"))).alias("word")).join(weights, "word")
-    totals = posted.groupBy("id", "key").agg(F.sum("idf").alias("total"))
+    # names are scored once, however many nodes have them
+    posted = index.select("key").distinct().select("key", F.explode(content_words(F.col("key"))).alias("word")).join(idf.select("word", "idf"), "word")
+    totals = posted.groupBy("key").agg(F.sum("idf").alias("total"))
     asked = questions.select("q", F.explode(content_words(F.col("question"))).alias("word"))
-    matched = asked.join(posted, "word").groupBy("q", "id", "key").agg(F.sum("idf").alias("m"))
-    best = matched.join(totals, ["id", "key"]).groupBy("q", "id").agg(F.max(F.col("m") * F.col("m") / F.col("total")).alias("score"))
-    place = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id")
+    matched = asked.join(posted, "word").groupBy("q", "key").agg(F.sum("idf").alias("m"))
+    scored = matched.join(totals, "key").withColumn("score", F.round(F.col("m") * F.col("m") / F.col("total"), 9))
+    # a node in the result has fewer than ``top`` nodes before it, each with a few names at most
+    variants = index.groupBy("id").agg(F.countDistinct("key").alias("v")).agg(F.coalesce(F.max("v"), F.lit(1)).alias("v"))
+    better = F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    names = scored.withColumn("r", better).crossJoin(F.broadcast(variants)).where(F.col("r") <= top * F.col("v"))
+    first = Window.partitionBy("key").orderBy("id")
+    nodes = index.select("key", "id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= top)
+    best = names.join(nodes, "key").groupBy("q", "id").agg(F.max("score").alias("score"))
+    place = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= top)
 
 
