@@ -69,19 +69,32 @@ def route_by_name(mentions: DataFrame, names: DataFrame) -> DataFrame:
 def routing_candidates(mentions: DataFrame, names: DataFrame, limit: int = 8, max_df: int = 200) -> DataFrame:
     """``mentions(m, key)`` to ``(m, id, score, rank)``: exact keys first, then by Jaccard of name words.
 
-    Words that more than ``max_df`` names have open no pool.
+    Words that more than ``max_df`` names have open no pool, unless the mention
+    has no rarer one: then the rarest that any name has does. Names are scored
+    once, however many nodes have them and mentions ask for them.
     """
-    exact = mentions.join(names, "key").select("m", "id", F.lit(2.0).alias("score"))
-    worded = names.select("id", "key", F.explode(F.array_distinct(tokens(F.col("key")))).alias("word"))
-    rare = worded.groupBy("word").agg(F.countDistinct("id").alias("df")).where(F.col("df") <= max_df).select("word")
-    asked = mentions.select("m", F.col("key").alias("mkey"), F.explode(F.array_distinct(tokens(F.col("key")))).alias("word"))
-    pool = asked.join(rare, "word").join(worded, "word").select("m", "mkey", "id", "key").distinct()
-    a, b = F.array_distinct(tokens(F.col("mkey"))), F.array_distinct(tokens(F.col("key")))
-    jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    lexical = pool.where("key <> mkey").groupBy("m", "id").agg(F.max(jaccard).alias("score"))
-    best = exact.unionByName(lexical).groupBy("m", "id").agg(F.max("score").alias("score"))
+    named = names.select("id", "key").distinct()
+    first = Window.partitionBy("key").orderBy("id")
+    nodes = named.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).select("key", "id")
+    words = lambda c: F.array_distinct(tokens(F.col(c)))
+    df = named.select("id", F.explode(words("key")).alias("word")).groupBy("word").agg(F.countDistinct("id").alias("df"))
+    posted = named.select("key").distinct().select("key", F.explode(words("key")).alias("word"))
+    asked = mentions.select(F.col("key").alias("mkey")).distinct()
+    rarest = Window.partitionBy("mkey").orderBy("df", "word")
+    opening = asked.select("mkey", F.explode(words("mkey")).alias("word")).join(df, "word").withColumn("n", F.row_number().over(rarest)).where((F.col("df") <= max_df) | (F.col("n") == 1))
+    pool = opening.select("mkey", "word").join(posted, "word").where("key <> mkey").select("mkey", "key").distinct()
+    jaccard = F.size(F.array_intersect(words("mkey"), words("key"))) / F.size(F.array_union(words("mkey"), words("key")))
+    # a node in the result has fewer than ``limit`` nodes before it, each with a few names at most
+    variants = named.groupBy("id").agg(F.count("*").alias("v")).agg(F.coalesce(F.max("v"), F.lit(1)).alias("v"))
+    better = F.rank().over(Window.partitionBy("mkey").orderBy(F.desc("score")))
+    near = pool.withColumn("score", jaccard).withColumn("r", better).crossJoin(F.broadcast(variants)).where(F.col("r") <= limit * F.col("v"))
+    lexical = near.join(nodes, "key").select("mkey", "id", "score")
+    exact = asked.join(nodes, F.col("mkey") == F.col("key")).select("mkey", "id", F.lit(2.0).alias("score"))
+    best = exact.unionByName(lexical).groupBy("mkey", "id").agg(F.max("score").alias("score"))
+    few = best.withColumn("r", F.row_number().over(Window.partitionBy("mkey").orderBy(F.desc("score"), "id"))).where(F.col("r") <= limit)
+    each = mentions.select("m", F.col("key").alias("mkey")).join(few, "mkey").groupBy("m", "id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("m").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= limit)
+    return each.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= limit)
 
 
 def routed(candidates: DataFrame, min_probability: float = 0.6) -> DataFrame:

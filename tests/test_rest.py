@@ -128,6 +128,31 @@ def test_extractions(spark):
     assert len(ingest.SCHEMA_RELATIONS) == 38
 
 
+def test_routing_opens_the_rarest_common_word(spark):
+    rows = [("n%03d" % i, f"common {i % 3} part") for i in range(300)] + [("r%03d" % i, f"common rare{i % 40}") for i in range(250)] + [("n299", "common 7"), ("x1", "rarely seen"), ("x2", "seen thing")]
+    asked = [("all", "common part"), ("unknown", "common nowhere"), ("exact", "common 1 part"), ("rare", "common seen"), ("none", "absent")]
+    names = spark.createDataFrame(rows, "id string, key string")
+    got = ingest.routing_candidates(spark.createDataFrame(asked, "m string, key string"), names).orderBy("m", "rank").collect()
+    ids = {}
+    for i, key in rows:
+        for w in set(key.split()):
+            ids.setdefault(w, set()).add(i)
+    want = []
+    for m, mkey in sorted(asked):
+        own = set(mkey.split())
+        known = sorted((len(ids[w]), w) for w in own if w in ids)
+        opening = {w for n, w in known if n <= 200} or {w for _, w in known[:1]}
+        best = {}
+        for i, key in rows:
+            w = set(key.split())
+            score = 2.0 if key == mkey else len(own & w) / len(own | w) if opening & w else 0
+            if score:
+                best[i] = max(score, best.get(i, 0))
+        want += [(m, i, round(s, 9), n) for n, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:8], 1)]
+    assert [(r["m"], r["id"], round(r["score"], 9), r["rank"]) for r in got] == want
+    assert {m for m, *_ in want} == {"all", "unknown", "exact", "rare"}
+
+
 def test_answers_and_metrics(spark):
     norm = lambda s: spark.range(1).select(X.normalize_answer(F.lit(s)).alias("x")).first()["x"]
     assert norm("The  Dark Knight!") == "dark knight" and norm("An apple, a day") == "apple day"
