@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,9 +88,13 @@ def evidence_start(text: Column, quote: Column) -> Column:
     return F.when((F.length(quote) >= 4) & (at > 0), at - 1)
 
 
+def _bare(quote: str | None) -> str:
+    return re.sub(r"^[\s\"'“”‘’….]+|[\s\"'“”‘’…]+$", "", quote or "")
+
+
 def folded_evidence(text: str, quote: str) -> tuple[int, int] | None:
     """A quote's span, without regard to case, spacing, outer quotes and ellipses."""
-    bare = re.sub(r"^[\s\"'“”‘’….]+|[\s\"'“”‘’…]+$", "", quote or "")
+    bare = _bare(quote)
     if len(bare) < 4:
         return None
     at = text.find(bare)
@@ -105,6 +110,50 @@ def find_evidence(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
 
 
+@F.pandas_udf(T.StringType())
+def bare_quote(quotes: pd.Series) -> pd.Series:
+    """Quotes without their outer quotes, ellipses and blanks, as ``find_evidence`` looks for them."""
+    return quotes.map(_bare)
+
+
+#: What Python's patterns and split take for white space, as a Java class.
+_SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+
+
+@lru_cache(1)
+def _case_pairs() -> tuple[str, str]:
+    """Characters that patterns without regard to case take for another one, and that other one."""
+    groups: dict[str, list[str]] = {}
+    for c in map(chr, range(0x20000)):
+        low = c.lower()[0]
+        groups.setdefault(low.upper(), []).append(c)
+    pairs = [(c, g[0]) for g in groups.values() for c in g[1:]]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def quote_pairs(documents: DataFrame, quotes: DataFrame, most: int = 4) -> DataFrame:
+    """``documents(key, text)`` and ``quotes(item, quote)`` to ``(key, item)``: where a quote may stand.
+
+    A quote's inner words are whole words of a text that has it, whatever the
+    case and spacing: up to ``most`` of them are an equi-join before the search.
+    Quotes of one or two words are joined by their first characters.
+    """
+    fold = lambda c: F.trim(F.regexp_replace(F.translate(c, *_case_pairs()), _SPACE, " "))
+    grams = lambda kind, parts, k: F.transform(F.sequence(F.lit(1), F.size(parts) - k + 1), lambda i: F.xxhash64(F.lit(kind), F.lit(k), F.slice(parts, i, k)))
+    asked = quotes.select("item", fold(F.col("quote")).alias("f")).select("item", F.split("f", " ").alias("w"), F.split("f", "").alias("c"))
+    worded = F.size("w") > 2
+    sized = asked.withColumn("kind", F.when(worded, "word").otherwise("char")).withColumn("k", F.when(worded, F.least(F.size("w") - 2, F.lit(most))).otherwise(F.least(F.size("c"), F.lit(most))))
+    first = F.when(worded, F.slice("w", F.lit(2), F.col("k"))).otherwise(F.slice("c", F.lit(1), F.col("k")))
+    keyed = sized.select("item", F.xxhash64("kind", "k", first).alias("g")).distinct()
+    needed = [(r["kind"], r["k"]) for r in sized.select("kind", "k").distinct().collect() if r["k"] is not None]
+    if not needed:
+        return documents.select("key").limit(0).crossJoin(quotes.select("item").limit(0))
+    parts = documents.select("key", fold(F.col("text")).alias("f")).select("key", F.split("f", " ").alias("w"), F.split("f", "").alias("c"))
+    own = [F.when(F.size("w" if kind == "word" else "c") >= k, grams(kind, F.col("w" if kind == "word" else "c"), k)).otherwise(F.array().cast("array<bigint>")) for kind, k in needed]
+    docs = parts.select("key", F.explode(F.array_distinct(F.concat(*own))).alias("g"))
+    return docs.join(keyed, "g").select("key", "item").distinct()
+
+
 def overlapping(a_key: Column, a_start: Column, a_end: Column, b_key: Column, b_start: Column, b_end: Column) -> Column:
     """Spans of one document that share a character; one without a span has all of it."""
     whole = a_start.isNull() | b_start.isNull()

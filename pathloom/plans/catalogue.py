@@ -601,25 +601,22 @@ def dense_locate(t):
     return locate.locate_dense(asked, t.documents.select(F.col("doc_id").alias("key"), "text"), 5)
 
 
-def evidence_pairs(t) -> DataFrame:
-    """Passages and the documents that have their second to fifth words: an equi-join before the exact search."""
-    grams = lambda w: F.transform(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 3)), lambda x, i: F.xxhash64(F.slice(w, i + 1, 4)))
-    words = F.split("text", " ")
-    docs = t.documents.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    asked = t.benchmark.select("item_id", F.xxhash64(F.slice(words, 2, 4)).alias("g")).distinct()
-    return docs.join(asked, "g").select("doc_id", "item_id").distinct()
+def evidence_pairs(t, quote) -> DataFrame:
+    """Documents and the passages that may stand in them, with both texts."""
+    pairs = locate.quote_pairs(t.documents.select(F.col("doc_id").alias("key"), "text"), t.benchmark.select(F.col("item_id").alias("item"), quote.alias("quote")))
+    return pairs.withColumnsRenamed({"key": "doc_id", "item": "item_id"}).join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.withColumnRenamed("text", "quote"), "item_id")
 
 
 @query("evidence_exact", "SELECT d.doc_id, b.item_id, instr(d.text, b.text)::INTEGER - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def evidence_exact(t):
-    pairs = evidence_pairs(t).join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.withColumnRenamed("text", "quote"), "item_id")
+    pairs = evidence_pairs(t, F.col("text"))
     return pairs.select("doc_id", "item_id", locate.evidence_start(F.col("text"), F.col("quote")).alias("start")).where("start is not null")
 
 
 @query("find_evidence_folded")
 def find_evidence_folded(t):
-    pairs = evidence_pairs(t).join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.withColumnRenamed("text", "quote"), "item_id")
-    return pairs.select("doc_id", "item_id", locate.find_evidence("text", F.upper("quote")).alias("span")).select("doc_id", "item_id", "span.start", "span.end")
+    pairs = evidence_pairs(t, locate.bare_quote("text"))
+    return pairs.select("doc_id", "item_id", locate.find_evidence("text", "quote").alias("span")).select("doc_id", "item_id", "span.start", "span.end")
 
 
 @query("read_span", "SELECT l.doc_id AS q, d.doc_id AS key, greatest(0, least(10, length(text)) - 5)::INTEGER AS start, least(length(text), 45)::INTEGER AS \"end\", substr(text, greatest(0, least(10, length(text)) - 5) + 1, least(length(text), 45) - greatest(0, least(10, length(text)) - 5)) AS passage, l.quality = 0 AS stale FROM labels l JOIN documents d USING (doc_id)")

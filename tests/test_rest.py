@@ -112,6 +112,45 @@ def test_evidence(quote, want):
     assert locate.folded_evidence("Marie who was born in Paris in 1900", quote) == want
 
 
+def test_quote_pairs_lose_nothing(spark):
+    quotes = ["The quick brown fox jumped over it", "“The quick brown fox…”", "quick brown fox", "brown fox", "foxes", "a    b", "Straße nach Kassel hin gebaut", "ΟΔΥΣΣΕΥΣ went home to Ithaca", "cat sat", "  one two three four five six ", "none of these are anywhere at all", "''", "", "xy", None]
+    base = " ".join(q for q in quotes if q)
+    words = ["The", "quick", "brown", "fox", "foxes", "a", "b", "cat", "sat", "one"]
+    rng = random.Random(4)
+    texts = [base, base.upper(), base.lower(), base.replace(" ", "\n"), re.sub(r"\s+", " \t\u00a0\x1c", base.title()), "He said:the QUICK\r\nbrown  foxy things", "overQuick", "bra\ncatSAT\u2003SATurn", "xone two\nTHREE four five sixty", "οδυσσευς", "Οδυσσευς WENT home\nto ithaca", "\u017ftra\u00dfe", None, ""]
+    texts += [rng.choice([" ", "\n", "  "]).join(rng.choice([str.lower, str.upper, str])(rng.choice(words)) for _ in range(12)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key int, text string").repartition(3)
+    asked = spark.createDataFrame(list(enumerate(quotes)), "item int, quote string")
+    pairs = {tuple(r) for r in locate.quote_pairs(docs, asked.select("item", locate.bare_quote("quote").alias("quote"))).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, q in enumerate(quotes) if locate.folded_evidence(t or "", q)}
+    assert want <= pairs and len({i for _, i in want}) >= 10 and len(pairs) < len(texts) * len(quotes)
+    exact = {tuple(r) for r in locate.quote_pairs(docs, asked).collect()}
+    assert {(d, i) for d, t in enumerate(texts) for i, q in enumerate(quotes) if t and q and q in t} <= exact
+
+
+def test_characters_that_differ_by_case():
+    source, target = locate._case_pairs()
+    one = str.maketrans(source, target)
+    for c in map(chr, range(0x3000)):
+        for other in {c.lower(), c.upper(), c.swapcase(), c.casefold(), c.upper().lower()}:
+            if len(other) == 1 and re.fullmatch(re.escape(c), other, re.I):
+                assert c.translate(one) == other.translate(one)
+
+
+def test_passages_recased_and_rewrapped(spark, tmp_path):
+    from pathloom.plans import catalogue
+
+    passages = ["Alpha beta gamma delta epsilon zeta", "Short passage here", "two words", "five words are\nin this"]
+    texts = [p for q in passages for p in (q, "x " + q.upper() + ".", "y\n" + q.replace(" ", "\n  ").title() + " z", "no " + q[:3])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folded = catalogue.queries()["find_evidence_folded"](spark, str(tmp_path)).where("start is not null").collect()
+    want = {(d, i, *s) for d, t in enumerate(texts) for i, q in enumerate(passages) if (s := locate.folded_evidence(t, q))}
+    assert {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in folded} == want and len(want) == 12
+    exact = catalogue.queries()["evidence_exact"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in exact} == {(d, i, t.index(q)) for d, t in enumerate(texts) for i, q in enumerate(passages) if q in t}
+
+
 def test_fusion_and_selection(spark):
     rows = [("q", 0, 0, "d", 0, 10), ("q", 0, 1, "d", 20, 30), ("q", 1, 0, "d", 5, 12), ("q", 1, 1, "e", 0, 3)]
     fused = locate.fuse_spans(spark.createDataFrame(rows, "q string, list int, rank int, key string, start int, end int"), 3).orderBy("rank").collect()
