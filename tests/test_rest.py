@@ -46,6 +46,28 @@ def test_triple_files(spark, tmp_path):
         triples.detect_format("x.parquet")
 
 
+def test_ntriples_are_split_over_tasks(spark, tmp_path):
+    label = "<http://www.w3.org/2000/01/rdf-schema#label>"
+    (tmp_path / "nt").mkdir()
+    lines = {"b.nt": [], "a.nt": []}
+    for i in range(3000):
+        lines["a.nt" if i < 500 else "b.nt"] += [f'<http://e.org/s{i % 700}> {label} "name {i}" .', f"<http://e.org/s{i % 700}> <http://e.org/r> <http://e.org/o{i}> ."] + ["", "# note"] * (i % 2)
+    for name, own in lines.items():
+        write(tmp_path / "nt" / name, "\n".join(own) + ("\r\n" if name == "a.nt" else ""))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert triples._numbered_lines(spark, str(tmp_path / "nt")).rdd.getNumPartitions() > 5
+        got = sorted(triples._numbered_lines(spark, str(tmp_path / "nt")).collect())
+        rows, skipped = triples.read_ntriples(spark, str(tmp_path / "nt"))
+        found = {r["object"]: (r["subject"], r["subject_name"]) for r in rows.collect()}
+        assert skipped.first()["skipped"] == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert [r["line"].rstrip("\r") for r in got] == lines["a.nt"] + lines["b.nt"] and [r["ord"] for r in got] == list(range(len(got)))
+    assert found == {f"http://e.org/o{i}": (f"http://e.org/s{i % 700}", f"name {i % 700}") for i in range(3000)}
+
+
 def test_import_keeps_nodes(spark, tmp_path):
     rows, _ = triples.read_triples(spark, write(tmp_path / "a.csv", "s,p,o,subject_name\nx,r,y,New\nx,r,y,Other\nz,r,x,\n"))
     old = spark.createDataFrame([("x", "person", "Old")], "id string, type string, name string")
