@@ -3,10 +3,12 @@
 Vectors are put on one sphere by a further coordinate, so that the highest
 inner product is the smallest Euclidean distance. The candidates are dealt out
 in blocks; each block's M-tree has paged nodes with covering radii and the
-distances to their parents. A query opens pages in the order of their lower
-bounds, and the stored parent distances rule entries out by the triangle
-inequality before any distance to them is computed. Scores are exact integers;
-bounds are widened by more than their rounding error.
+distances to their parents. Batches of queries search the leaf level only: all
+leaf centers are compared, pages are opened in the order of their lower bounds,
+and entries are ruled out by the triangle inequality before any distance to them
+is computed. The descent through inner nodes with stored parent distances is
+left to the search of single queries, for huge values. Scores are exact
+integers; bounds are widened by more than their rounding error.
 """
 
 from __future__ import annotations
