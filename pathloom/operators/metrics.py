@@ -13,6 +13,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,30 +242,31 @@ def bootstrap_mean(values: list[float], resamples: int = 2000, seed: int = 0, le
     return means[int(tail * resamples)], means[min(resamples - 1, int((1 - tail) * resamples))]
 
 
-def bootstrap_ci(values: DataFrame, keys: list[str], value: str, resamples: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_ci(values: DataFrame, keys: list[str], value: str, resamples: int = 2000, seed: int = 0, slice_size: int = 100) -> DataFrame:
     """Interval of each group's mean.
 
     Resampling n values with replacement gives each a Poisson-like number of
     picks; every row draws its own for all resamples, so groups of any size are
-    summed where their rows lie.
+    summed where their rows lie. Equal values of a batch draw together, which
+    has the same distribution, and only so many resamples are held at once.
     """
     def picks(parts):
-        for pdf in parts:
-            if not len(pdf):
-                continue
-            out = []
-            for key, own in pdf.groupby(keys, dropna=False):
-                rng = np.random.default_rng([seed, *(int(h) & 0xFFFFFFFF for h in own["_hash"].to_numpy()[:1])])
-                n = rng.poisson(1.0, (len(own), resamples))
-                x = own[value].to_numpy(float)
-                out.append((*(key if isinstance(key, tuple) else (key,)), (n * x[:, None]).sum(0).tolist(), n.sum(0).astype(float).tolist()))
-            yield pd.DataFrame(out, columns=[*keys, "sums", "counts"])
+        partition = TaskContext.get().partitionId()
+        for batch, pdf in enumerate(parts):
+            groups = [(key if isinstance(key, tuple) else (key,), *np.unique(own[value].to_numpy(float), return_counts=True)) for key, own in pdf.groupby(keys, dropna=False)]
+            for low in range(0, resamples if groups else 0, slice_size):
+                rng = np.random.default_rng([seed, partition, batch, low])
+                out = []
+                for key, x, times in groups:
+                    n = rng.poisson(times[:, None], (len(x), min(slice_size, resamples - low)))
+                    out.append((*key, low, (x @ n).tolist(), n.sum(0).astype(float).tolist()))
+                yield pd.DataFrame(out, columns=[*keys, "low", "sums", "counts"])
 
     types = dict(values.dtypes)
-    rows = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value), F.xxhash64(*keys, value).alias("_hash"))
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", sums array<double>, counts array<double>"
-    parts = rows.mapInPandas(picks, schema).select(*keys, F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "x"))
-    means = parts.groupBy(*keys, "i").agg((F.sum("x.sums") / F.greatest(F.lit(1.0), F.sum("x.counts"))).alias("m"))
+    rows = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", low int, sums array<double>, counts array<double>"
+    parts = rows.mapInPandas(picks, schema).select(*keys, "low", F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "x"))
+    means = parts.groupBy(*keys, (F.col("low") + F.col("i")).alias("i")).agg((F.sum("x.sums") / F.greatest(F.lit(1.0), F.sum("x.counts"))).alias("m"))
     return means.groupBy(*keys).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 

@@ -1,5 +1,6 @@
 """Readers, linking, retrieval, ingestion, metrics and streams on small inputs."""
 
+import inspect
 import json
 import math
 import random
@@ -241,6 +242,18 @@ def test_intervals_and_curves(spark):
     assert abs(a - 1.5) < 0.2 and abs(b + 0.5) < 0.2
 
 
+def test_interval_has_2000_resamples(spark):
+    values = [float(v) for v in np.random.default_rng(1).integers(0, 5, 500)]
+    frame = spark.createDataFrame([("a", v) for v in values], "g string, v double").repartition(3)
+    spread = []
+    for seed in range(6):
+        low, high = metrics.bootstrap_ci(frame, ["g"], "v", seed=seed).select("low", "high").first()
+        spread.append((low, high))
+    half = 1.96 * np.std(values) / math.sqrt(len(values))
+    assert np.allclose(np.mean(spread, 0), [np.mean(values) - half, np.mean(values) + half], atol=0.1 * half)
+    assert inspect.signature(metrics.bootstrap_ci).parameters["resamples"].default == inspect.signature(metrics.bootstrap_mean).parameters["resamples"].default == 2000
+
+
 def test_names_and_values():
     assert X.plain_name("Café Müller (film)") == "cafe muller" and X.plain_value("4 July 1776") == "1776-07-04" == X.plain_value("July 4, 1776")
 
