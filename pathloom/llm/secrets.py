@@ -9,12 +9,14 @@ expressions only.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import as_spans, count_kind, in_order, joined, masked, matches, overlaps
+from .spans import as_spans, count_kind, fenced, in_order, joined, with_masked, with_matches, without_overlaps
 
 #: The kinds in their order.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -45,38 +47,83 @@ class SecretConfig:
     mixed: float = 3.8
 
 
-def max_window_entropy(text: Column, window: int) -> Column:
-    """Largest entropy, in bits per character, of the windows over a string of the alphabet."""
-    places = F.transform(F.split(text, ""), lambda c: (F.instr(F.lit(_ALPHABET), c) - 1))
-    indexed = F.transform(places, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(places, i - window)).otherwise(-1).alias("leaves"), i.alias("i")))
+#: Counters of 5 bits, so many to a 64-bit word.
+_PACKED = 12
 
-    def term(n: Column) -> Column:
-        return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
-    def step(state: Column, x: Column) -> Column:
-        out = F.when(x["leaves"] >= 0, F.get(state["counts"], x["leaves"])).otherwise(0)
-        middle = F.transform(state["counts"], lambda n, j: n - F.when(j == x["leaves"], 1).otherwise(0))
-        into = F.get(state["counts"], x["enters"]) - F.when(x["leaves"] == x["enters"], 1).otherwise(0)
-        total = state["total"] - F.when(out > 0, term(out) - term(out - 1)).otherwise(F.lit(0.0)) + term(into + 1) - term(into)
-        counts = F.transform(middle, lambda n, j: n + F.when(j == x["enters"], 1).otherwise(0))
-        full = x["i"] + 1 >= window
-        entropy = F.when(full, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(state["best"], entropy).alias("best"))
+def alphabet_places(text: Column) -> Column:
+    return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(indexed, zero, step, lambda s: s["best"])
 
+def max_window_entropy(places: Column, window: int) -> Column:
+    """Largest entropy, in bits per character, of the windows over a string, given by its alphabet places.
 
-def _suspicious(text: Column, config: SecretConfig) -> Column:
+    The characters' counts are packed in a few integers, in which the entering
+    and the leaving one are changed by position; so a window has at most 31
+    characters. 0 for shorter strings.
+    """
+    if not 0 < window < 32:
+        raise ValueError("a window has 1 to 31 characters")
+    words = -(-len(_ALPHABET) // _PACKED)
+    term = lambda n: n * math.log2(n) if n > 1 else 0.0
+    #: How the sum of n * log2(n) changes when a count of n falls, or rises, by one.
+    falls = F.array(*(F.lit(term(n) - term(n - 1)) for n in range(33)))
+    rises = F.array(*(F.lit(term(n + 1) - term(n)) for n in range(33)))
+    zero = F.lit(0).cast("long")
+
+    def unit(place: Column, k: int) -> Column:
+        return F.when(F.floor(place / _PACKED) == k, F.call_function("shiftleft", F.lit(1).cast("long"), ((place % _PACKED) * 5).cast("int"))).otherwise(zero)
+
+    def held(state: Column, place: Column) -> Column:
+        word = F.coalesce(*(F.when(F.floor(place / _PACKED) == k, state[f"c{k}"]) for k in range(words)))
+        return F.call_function("shiftrightunsigned", word, ((place % _PACKED) * 5).cast("int")).bitwiseAND(F.lit(31).cast("long")).cast("int")
+
+    def step(state: Column, i: Column) -> Column:
+        enters, leaves = F.get(places, i), F.get(places, i - window)
+        out = F.when(i >= window, held(state, leaves)).otherwise(0)
+        into = held(state, enters) - F.when((i >= window) & (leaves == enters), 1).otherwise(0)
+        total = state["total"] - F.get(falls, out) + F.get(rises, into)
+        counts = [(state[f"c{k}"] - F.when(i >= window, unit(leaves, k)).otherwise(zero) + unit(enters, k)).cast("long").alias(f"c{k}") for k in range(words)]
+        return F.struct(*counts, total.alias("total"), F.when(i + 1 >= window, F.least(state["least"], total)).otherwise(state["least"]).alias("least"))
+
+    start = F.struct(*(zero.alias(f"c{k}") for k in range(words)), F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"))
+    best = F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step, lambda s: F.lit(math.log2(window)) - s["least"] / window)
+    return F.when(F.size(places) >= window, best).otherwise(F.lit(0.0))
+
+
+def _suspicious(m: Column, config: SecretConfig) -> Column:
+    text = m["text"]
     least = (
         F.when(text.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), config.hexadecimal)
         .when(text.rlike("^(?:[^A-Z]+|[^a-z]+)$"), config.single_case)
         .otherwise(config.mixed)
     )
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | text.rlike(pattern)
-    return F.when(allowed, False).otherwise(max_window_entropy(text, config.window) >= least)
+    # sums of rounded logarithms: a window right at the threshold counts
+    return max_window_entropy(m["places"], config.window) >= least - 1e-9
+
+
+def with_secrets(frame: DataFrame, text: str, config: SecretConfig = SecretConfig()) -> DataFrame:
+    """The frame with the columns ``base`` and ``spans`` (see ``find_secrets``) for a text that isn't null."""
+    of = F.col(text)
+    found = with_matches(
+        frame,
+        text,
+        {
+            "assign": (ASSIGN, of.rlike("(?i)password|passwd|secret|token|api_?key")),
+            "access": (ACCESS, of.contains("AKIA")),
+            "hex": (HEX, of.rlike("[0-9a-f]{16}")),
+            "string": (_CANDIDATE, of.rlike("[0-9]")),
+        },
+    )
+    rules = {"assign": lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 12, "access": lambda m: F.length(m["text"]) >= 18}
+    kept = found.select("*", *(F.filter(k, rules[k]).alias(f"{k}_kept") for k in rules)).withColumn("hex_kept", F.col("hex"))
+    allowed = lambda m: F.exists(F.array(*map(F.lit, ALLOWED)), lambda p: F.call_function("rlike", m["text"], p))
+    free = kept.withColumn("string", F.filter(without_overlaps("string", *(f"{k}_kept" for k in KINDS)), lambda m: ~allowed(m)))
+    placed = free.withColumn("string", F.transform("string", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), alphabet_places(m["text"]).alias("places"))))
+    based = placed.withColumn("base", in_order(*(as_spans(F.col(f"{k}_kept"), k, i) for i, k in enumerate(KINDS))))
+    judged = based.withColumn("string", F.filter("string", lambda m: _suspicious(m, config)))
+    done = judged.withColumns({"base": fenced(F.col("base")), "spans": fenced(in_order(F.col("base"), as_spans(F.col("string"), ENTROPY, len(KINDS))))})
+    return done.drop(*KINDS, *(f"{k}_kept" for k in KINDS), "string")
 
 
 def find_secrets(documents: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
@@ -89,23 +136,7 @@ def find_secrets(documents: DataFrame, config: SecretConfig = SecretConfig()) ->
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return slim.select("doc_id", "text", _base(F.col("text")).alias("base")).select("doc_id", "base", _all(F.col("text"), F.col("base"), config).alias("spans"))
-
-
-def _base(text: Column) -> Column:
-    assign = F.filter(
-        matches(text, ASSIGN, text.rlike("(?i)password|passwd|secret|token|api_?key")),
-        lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 12,
-    )
-    access = F.filter(matches(text, ACCESS, text.contains("AKIA")), lambda m: F.length(m["text"]) >= 18)
-    found = {"assign": assign, "access": access, "hex": matches(text, HEX, text.rlike("[0-9a-f]{16}"))}
-    return in_order(*(as_spans(found[k], k, i) for i, k in enumerate(KINDS)))
-
-
-def _all(text: Column, base: Column, config: SecretConfig) -> Column:
-    candidates = F.filter(matches(text, _CANDIDATE, text.rlike("[0-9]")), lambda m: ~overlaps(m, base))
-    found = F.filter(candidates, lambda m: _suspicious(m["text"], config))
-    return in_order(base, as_spans(found, ENTROPY, len(KINDS)))
+    return with_secrets(slim, "text", config).select("doc_id", "base", "spans")
 
 
 def secret_report(documents: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
@@ -117,5 +148,7 @@ def secret_report(documents: DataFrame, config: SecretConfig = SecretConfig()) -
 def mask_secrets(documents: DataFrame, config: SecretConfig = SecretConfig()) -> DataFrame:
     """The documents with each span replaced by ``[KIND]``; null texts stay null."""
     text = F.coalesce(documents["text"].cast("string"), F.lit(""))
-    new = F.when(documents["text"].isNotNull(), masked(text, _all(text, _base(text), config)))
-    return documents.select(*(new.alias(c) if c == "text" else documents[c] for c in documents.columns))
+    found = with_secrets(documents.select(F.struct("*").alias("document"), text.alias("text")), "text", config)
+    new = with_masked(found, "text", "spans", "new")
+    changed = F.when(F.col("document.text").isNotNull(), F.col("new"))
+    return new.select(*(changed.alias(c) if c == "text" else F.col(f"document.`{c}`").alias(c) for c in documents.columns))
