@@ -1,10 +1,11 @@
 """Chat formatting of reply trees.
 
 Messages name their parents. Repeated self-joins, each doubling the distance
-that it covers, list the nodes from every leaf up to its root; branches are
-ranked by their score and each chosen path becomes one conversation in a
-template that marks the turns and escapes its control strings inside texts, so
-that the turns can be read back. Column expressions and joins only.
+that it covers, sum the scores from every node up to its root; branches are
+ranked by them, and only the chosen ones' paths are listed, by the same jumps.
+Each becomes one conversation in a template that marks the turns and escapes
+its control strings inside texts, so that the turns can be read back. Column
+expressions and joins only.
 """
 
 from __future__ import annotations
@@ -53,32 +54,57 @@ def role_of(mark: Column) -> Column:
 def linear_messages(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, text)`` as trees in which each turn replies to the one before.
 
-    Turns with one number follow each other by role and text.
+    Turns with one number follow each other by role and text. Rows are numbered
+    through over sorted ranges, so that a long conversation needn't be in one
+    task; nodes of one conversation have consecutive numbers.
     """
-    place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    node = F.row_number().over(place).cast("long")
+    keys = ["conv_id", "turn", "role", "text"]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.select("conv_id", node.alias("node"), "role", "text").select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
-
-
-def branch_nodes(messages: DataFrame) -> DataFrame:
-    """All nodes of every root-to-leaf path: ``(tree, leaf, node, height)``, 0 at the leaf.
-
-    The joins number the logarithm of the longest path. A parent that doesn't
-    exist makes a root; nodes on a cycle belong to no path.
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = settle(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    node = F.col("base") + F.col("place")
+    numbered = placed.join(F.broadcast(bases), "part")
+    # the first turn's parent is another conversation's node, which makes it a root
+    return numbered.select("conv_id", node.alias("node"), (node - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+
+
+def _jumps(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Every node that leads to a root, and the jumps of 1, 2, 4, ... steps.
+
+    The first has ``(tree, node, length, total)``, the path's messages and their
+    scores from the node up to the root; the others ``(tree, node, up)``. A
+    parent that doesn't exist makes a root. When a round brings no node to its
+    root, those that are left lead into cycles.
     """
-    jumps = settle(messages.select("tree", "node", "parent").join(messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known")), ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up")))
-    parents = jumps.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = jumps.join(parents, ["tree", "node"], "left_anti")
-    paths = settle(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height")))
-    nodes, reach = jumps.count(), 1
-    jumps = jumps.where("up is not null")
-    while reach < 2 * nodes and not jumps.isEmpty():
-        further = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + reach).alias("height"))
+    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    up = F.when(F.col("known"), F.col("parent"))
+    one = F.lit(1).cast("long")
+    now = settle(messages.select("tree", "node", "parent", "score").join(known, ["tree", "parent"], "left").select("tree", "node", up.alias("up"), one.alias("length"), F.col("score").alias("total")))
+    ended = now.where("up is null").select("tree", "node", "length", "total")
+    going = now.where("up is not null")
+    levels = []
+    while not going.isEmpty():
+        levels.append(going.select("tree", "node", "up"))
+        roots = ended.select("tree", F.col("node").alias("up"), F.col("length").alias("rest"), F.col("total").alias("sum"))
+        far = going.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("length").alias("rest"), F.col("total").alias("sum"))
+        beyond = far.unionByName(roots.withColumn("top", F.lit(None).cast("long")))
+        now = settle(going.join(beyond, ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), (F.col("length") + F.col("rest")).alias("length"), (F.col("total") + F.col("sum")).alias("total")))
+        arrived = now.where("up is null").select("tree", "node", "length", "total")
+        if arrived.isEmpty():
+            break
+        ended = ended.union(arrived)
+        going = now.where("up is not null")
+    return ended, levels
+
+
+def branch_nodes(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """All nodes from the given leaves up to their roots: ``(tree, leaf, node, height)``, 0 at the leaf."""
+    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("height"))
+    for level, jumps in enumerate(levels):
+        further = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + (1 << level)).alias("height"))
         paths = settle(paths.union(further))
-        beyond = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("top"))
-        jumps = settle(jumps.join(beyond, ["tree", "up"]).select("tree", "node", F.col("top").alias("up")))
-        reach *= 2
     return paths
 
 
@@ -88,23 +114,25 @@ def format_trees(messages: DataFrame, config: ChatConfig = ChatConfig()) -> Data
     Branches rank by the mean score of their messages, ties to the smaller
     leaf; null scores count as 0. ``loss`` has the spans (start, end) of the
     learned roles' texts in the formatted string. Null roles and texts count as
-    empty. Repeated nodes should not occur in one tree (``linear_messages``
-    numbers rows anew). An empty table gives none.
+    empty. Nodes on a cycle, and branches that lead into one, belong to no
+    conversation. Repeated nodes should not occur in one tree
+    (``linear_messages`` numbers rows anew). An empty table gives none.
     """
-    rows = settle(
-        messages.select(
-            F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_TREE)).alias("tree"),
-            F.col("node").cast("long").alias("node"),
-            F.col("parent").cast("long").alias("parent"),
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
-        )
+    rows = messages.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_TREE)).alias("tree"),
+        F.col("node").cast("long").alias("node"),
+        F.col("parent").cast("long").alias("parent"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
-    paths = branch_nodes(rows)
-    scored = paths.join(rows.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-    best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= config.branches)
+    rooted, levels = _jumps(rows)
+    parents = rows.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = rooted.join(parents, ["tree", "node"], "left_anti").withColumn("score", F.col("total") / F.col("length"))
+    best = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
+    chosen = settle(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= config.branches).select("tree", "node", "rank", "score"))
+    paths = branch_nodes(chosen, levels)
+    chosen = chosen.withColumnRenamed("node", "leaf")
     head = F.concat(F.lit(START), role_mark(F.col("role")), F.lit("\n"))
     turn = F.struct((-F.col("height")).alias("place"), head.alias("head"), escape(F.col("text")).alias("text"), F.col("role").isin(*config.learned).alias("learned"))
     gathered = (

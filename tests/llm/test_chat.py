@@ -55,6 +55,25 @@ def test_long_chains_and_cycles(spark):
     assert [(r["conv_id"], [int(t["text"]) for t in r["t"]]) for r in got] == [(0, list(range(700)))]
 
 
+def test_leaves_on_cycles_and_odd_rows(spark):
+    schema = "conv_id long, node long, parent long, role string, text string, score double"
+    loop = [(2, 0, 1, "user", "a", 0.0), (2, 1, 0, "user", "b", 0.0), (2, 2, 1, "user", "leaf", 9.0)]
+    side = [(3, 0, None, "user", "root", 0.0), (3, 1, 0, "user", "good", 1.0)] + [(3, 10 + n, 10 + (n + 1) % 9, "user", "x", 5.0) for n in range(9)] + [(3, 30, 10, "user", "y", 5.0)]
+    lost = [(4, 7, 99, None, None, None)]
+    frame = spark.createDataFrame(loop + side + lost, schema).withColumn("tree", F.lit(1)).withColumn("up", F.lit(2))
+    got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in format_trees(frame).select("conv_id", read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == {3: ["root", "good"], 4: [""]}
+
+
+def test_repeated_turns_and_a_long_conversation(spark):
+    rows = [(1, n % 50, "assistant" if n % 2 else "user", f"t{n}") for n in range(900)] + [(2, 5, "user", "same")] * 3 + [(3, None, None, None)]
+    got = {r["conv_id"]: r for r in chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    for conv in (1, 2, 3):
+        own = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0] or 0, r[1] or "", r[2] or ""))
+        said = "".join(f"{role or ''}\n{text or ''}\n" for _, role, text in own)
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_no_control_string_is_left(spark):
     rows = [(0, 0, "user", "".join(CONTROLS))]
     done = format_trees(__import__("pathloom.llm.chat", fromlist=["x"]).linear_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()["formatted"]
