@@ -2,13 +2,13 @@
 
 Vectors are put on one sphere by a further coordinate, so that the highest
 inner product is the smallest Euclidean distance. The candidates are dealt out
-in blocks; each block's M-tree has paged nodes with covering radii and the
-distances to their parents. Batches of queries search the leaf level only: all
-leaf centers are compared, pages are opened in the order of their lower bounds,
-and entries are ruled out by the triangle inequality before any distance to them
-is computed. The descent through inner nodes with stored parent distances is
-left to the search of single queries, for huge values. Scores are exact
-integers; bounds are widened by more than their rounding error.
+in blocks, each with one M-tree of paged nodes with covering radii and the
+distances to their parents. Batches of queries stream past a tree and descend it
+together: in each wave every query opens the pages with its lowest bounds, and
+queries at one page share its matrix products. A child, or an entry of a leaf,
+is ruled out by the triangle inequality on its stored distance to the parent
+before any distance to it is computed, then by its covering radius. Scores are
+exact integers; bounds are widened by more than their rounding error.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ class SearchConfig:
     #: Components are turned into floor(scale * x).
     scale: float = 64.0
     #: Candidates of a block, and how many blocks there are at least, so that few
-    #: candidates are searched in parallel too; queries that search a block in one task.
-    block: int = 8192
+    #: candidates are searched in parallel too; queries that descend a tree together.
+    block: int = 16384
     min_blocks: int = 8
     queries: int = 256
     #: Entries of a page.
@@ -43,12 +43,12 @@ class SearchConfig:
 class Node:
     """A page: a leaf has entries sorted by their distance to its routing vector."""
 
-    __slots__ = ("center", "radius", "to_parent", "children", "rows", "gaps")
+    __slots__ = ("center", "radius", "to_parent", "children", "places", "rows", "gaps")
 
     def __init__(self, center: np.ndarray, radius: float, to_parent: float) -> None:
         self.center, self.radius, self.to_parent = center, radius, to_parent
         self.children: list[Node] = []
-        self.rows = self.gaps = np.zeros(0)
+        self.places = self.rows = self.gaps = np.zeros(0, int)
 
 
 class MTree:
@@ -84,16 +84,20 @@ class MTree:
         node.children = [self._build(rows[owner == i], center) for i in np.unique(owner)]
         return node
 
-    def leaves(self, node: Node | None = None) -> list[Node]:
-        node = node or self.root
-        return [leaf for child in node.children for leaf in self.leaves(child)] if node.children else [node]
+    def _nodes(self) -> list[Node]:
+        """All nodes, parents first; each node knows its children's places."""
+        nodes, at = [self.root], 0
+        while at < len(nodes):
+            nodes[at].places = np.arange(len(nodes), len(nodes) + len(nodes[at].children))
+            nodes += nodes[at].children
+            at += 1
+        return nodes
 
     def search_many(self, queries: np.ndarray, own_ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The same as ``search`` for many queries.
 
-        Each query still opens pages in the order of its lower bounds, in waves
-        of 1, 3, 12, ... pages; queries at one page share a matrix product over
-        the entries that the triangle inequality leaves to any of them.
+        Each query opens its pages in the order of their lower bounds, in waves
+        of 1, 1, 2, 4, ... pages.
         """
         k, n = self.config.k, len(self.ids)
         with np.errstate(over="ignore"):
@@ -105,26 +109,49 @@ class MTree:
         by_id = np.argsort(self.ids, kind="stable")
         place = np.empty(n, np.int64)
         place[by_id] = np.arange(n)
-        pages = self.leaves()
-        centers = np.array([page.center for page in pages])
+        nodes = self._nodes()
+        radii, to_parent = np.array([x.radius for x in nodes]), np.array([x.to_parent for x in nodes])
+        centers = np.array([x.center for x in nodes])
+        squares = (centers**2).sum(1)
         points = np.hstack([queries, np.zeros((len(queries), 1))])
-        gaps = np.sqrt(np.maximum(0, (points**2).sum(1)[:, None] + (centers**2).sum(1)[None] - 2 * points @ centers.T))
-        self.computed += gaps.size
-        low = np.maximum(0, gaps - np.array([page.radius for page in pages])[None])
-        rank = np.argsort(np.argsort(low, axis=1, kind="stable"), axis=1, kind="stable")
+
+        def distances(asks: np.ndarray, to: np.ndarray) -> np.ndarray:
+            self.computed += len(asks) * len(to)
+            return np.sqrt(np.maximum(0, lengths[asks, None] + squares[to] - 2 * points[asks] @ centers[to].T))
+
         never = np.iinfo(np.int64).min
         best = np.full((len(queries), k), never)
         reach = np.full(len(queries), np.inf)
         slack = self.slack + 1e-6 * np.sqrt(lengths)
-        first, last = 0, 1
-        while first < len(pages):
-            for j, page in enumerate(pages):
-                asks = np.flatnonzero((rank[:, j] >= first) & (rank[:, j] < last) & (low[:, j] <= reach + slack))
-                if not len(asks):
+        # bounds of the pages that a query may open; none of the others
+        low, gaps = np.full((len(queries), len(nodes)), np.inf), np.zeros((len(queries), len(nodes)))
+        gaps[:, 0] = distances(np.arange(len(queries)), np.zeros(1, int))[:, 0]
+        low[:, 0] = np.maximum(0, gaps[:, 0] - radii[0])
+        wave, opened = 0, 1
+        while True:
+            low[low > (reach + slack)[:, None]] = np.inf
+            many = min(opened, len(nodes))
+            first = np.argpartition(low, many - 1, axis=1)[:, :many]
+            asking, which = np.nonzero(np.isfinite(np.take_along_axis(low, first, 1)))
+            if not len(asking):
+                break
+            pages = first[asking, which]
+            low[asking, pages] = np.inf
+            order = np.argsort(pages, kind="stable")
+            asking, pages = asking[order], pages[order]
+            for j, asks in zip(pages[np.append(True, pages[1:] != pages[:-1])], np.split(asking, np.flatnonzero(pages[1:] != pages[:-1]) + 1)):
+                node, span = nodes[j], (reach + slack)[asks]
+                if node.children:
+                    # by the stored distances to the parent first, without a distance of their own
+                    hopeful = np.abs(gaps[asks, j][:, None] - to_parent[node.places]) - radii[node.places] <= span[:, None]
+                    for c in np.flatnonzero(hopeful.any(0)):
+                        to, child = asks[hopeful[:, c]], node.places[c]
+                        own = distances(to, np.array([child]))[:, 0]
+                        gaps[to, child] = own
+                        low[to, child] = np.maximum(0, own - radii[child])
                     continue
-                span = (reach + slack)[asks]
-                a, b = np.searchsorted(page.gaps, ((gaps[asks, j] - span).min(), (gaps[asks, j] + span).max()))
-                rows = page.rows[a:b]
+                a, b = np.searchsorted(node.gaps, ((gaps[asks, j] - span).min(), (gaps[asks, j] + span).max()))
+                rows = node.rows[a:b]
                 if not len(rows):
                     continue
                 self.computed += len(asks) * len(rows)
@@ -137,7 +164,8 @@ class MTree:
             full = best[:, 0] != never
             kth = -((-best[full, 0]) // wide)
             reach[full] = np.sqrt(np.maximum(0, lengths[full] + self.limit - 2 * kth.astype(float)))
-            first, last = last, last * 4
+            wave += 1
+            opened = max(1, 1 << max(0, wave - 2))
         out = []
         for own in best:
             keys = own[own != never][::-1]
@@ -209,7 +237,7 @@ def _whole(config: SearchConfig):
             lengths = np.where(nulls, 0, lengths)
             ends = np.append(0, np.cumsum(lengths))
             bad = np.append(0, np.cumsum(~np.isfinite(values)))
-            kept = np.flatnonzero((bad[ends[1:]] == bad[ends[:-1]]) & (lengths > 0))
+            kept = np.flatnonzero((bad[ends[1:]] == bad[ends[:-1]]) & ~nulls)
             own = [values[ends[i] : ends[i + 1]].astype("<f8").tobytes() for i in kept]
             yield pa.record_batch([batch.column("id").take(pa.array(kept)), pa.array(own, pa.binary()), pa.array(lengths[kept], pa.int32())], names=["id", "vector", "dim"])
 
@@ -217,43 +245,46 @@ def _whole(config: SearchConfig):
 
 
 def _search(config: SearchConfig):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, names, asked = None, [], [], []
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            if not (held and asked):
-                return
-            tree = MTree(np.array(held), np.array(names, np.int64), config)
-            keys, ids, vectors = zip(*asked)
-            # a query without an id excludes nothing: no candidate has the smallest id
-            own = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
-            found = tree.search_many(np.array(vectors), own)
-            many = [len(f) for f, _ in found]
-            yield pa.record_batch(
-                [
-                    pa.array(np.repeat(np.array(keys, np.int64), many)),
-                    pa.array([i for i, n in zip(ids, many) for _ in range(n)], pa.int64()),
-                    pa.array(np.concatenate([f for f, _ in found])),
-                    pa.array(np.concatenate([x for _, x in found])),
-                ],
-                names=["key", "query_id", "vec_id", "score"],
-            )
+    def answers(tree: MTree, asked: list) -> pa.RecordBatch:
+        keys, ids, vectors = zip(*asked)
+        # a query without an id excludes nothing: no candidate has the smallest id
+        own = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)
+        found = tree.search_many(np.array(vectors), own)
+        many = [len(f) for f, _ in found]
+        return pa.record_batch(
+            [
+                pa.array(np.repeat(np.array(keys, np.int64), many)),
+                pa.array([i for i, n in zip(ids, many) for _ in range(n)], pa.int64()),
+                pa.array(np.concatenate([f for f, _ in found])),
+                pa.array(np.concatenate([x for _, x in found])),
+            ],
+            names=["key", "query_id", "vec_id", "score"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each block the candidates come first, then all queries
+        now, held, names, asked, tree = None, [], [], [], None
         for batch in batches:
-            groups = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "part"))))
+            groups = list(zip(*(batch.column(c).to_pylist() for c in ("dim", "block"))))
             sides, ids, keys = (batch.column(c).to_pylist() for c in ("asks", "id", "key"))
             vectors = batch.column("vector")
             for i, group in enumerate(groups):
                 if group != now:
-                    yield from answers()
-                    now, held, names, asked = group, [], [], []
+                    if asked:
+                        yield answers(tree, asked)
+                    now, held, names, asked, tree = group, [], [], [], None
                 vector = np.frombuffer(vectors[i].as_py(), "<f8")
-                if sides[i]:
-                    asked.append((keys[i], ids[i], vector))
-                else:
+                if not sides[i]:
                     held.append(vector)
                     names.append(ids[i])
-        yield from answers()
+                elif held:
+                    tree = tree or MTree(np.array(held), np.array(names, np.int64), config)
+                    asked.append((keys[i], ids[i], vector))
+                    if len(asked) == config.queries:
+                        yield answers(tree, asked)
+                        asked = []
+        if asked:
+            yield answers(tree, asked)
 
     return run
 
@@ -263,10 +294,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, config: SearchConfig = Sear
 
     Each query row gets its k highest integer inner products over all
     candidates but those of its own id (all, if there are fewer), ties to the
-    smaller vec_id. Vectors that are null or empty or hold null or non-finite
-    components take no part, nor do candidates without an id; vectors of
-    different length don't meet. Repeated candidates count each. Scores beyond
-    64 bits are clipped. Empty tables give none.
+    smaller vec_id. Vectors that are null or hold null or non-finite components
+    (also after scaling) take no part, nor do candidates without an id; vectors
+    of different length don't meet, empty ones score 0. Repeated candidates count
+    each; rows that repeat a query get their answers each. Other columns take no
+    part. Scores beyond 64 bits are clipped. Empty tables give none.
+
+    Candidates are sent once, each to its block; queries to every block.
     """
     def plain(frame: DataFrame) -> DataFrame:
         slim = frame.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
@@ -275,11 +309,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, config: SearchConfig = Sear
     held = plain(candidates).where("id is not null")
     asked = settle(plain(queries).withColumn("key", F.monotonically_increasing_id()))
     blocks = F.lit(max(config.min_blocks, -(-held.count() // config.block)))
-    parts = F.lit(max(1, -(-asked.count() // config.queries)))
-    # blocks of candidates meet parts of the queries, each pair in a group of its own
-    left = held.select(F.lit(False).alias("asks"), "dim", F.pmod(F.xxhash64("id", "vector"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "id", F.lit(0).cast("long").alias("key"), "vector")
-    right = asked.select(F.lit(True).alias("asks"), "dim", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "id", "key", "vector")
-    grouped = left.unionByName(right).repartition("dim", "block", "part").sortWithinPartitions("dim", "block", "part", "asks")
+    # of each block of candidates one tree; every query comes to every block
+    left = held.select(F.lit(False).alias("asks"), "dim", F.pmod(F.xxhash64("id", "vector"), blocks).cast("int").alias("block"), "id", F.lit(0).cast("long").alias("key"), "vector")
+    right = asked.select(F.lit(True).alias("asks"), "dim", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", "key", "vector")
+    grouped = left.unionByName(right).repartition("dim", "block").sortWithinPartitions("dim", "block", "asks")
     found = grouped.mapInArrow(_search(config), "key long, query_id long, vec_id long, score long")
     best = Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= config.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
