@@ -3,7 +3,9 @@
 Each line has a few features; Viterbi decoding labels the lines of a document
 together, and the share of its words on content lines decides whether it stays.
 The weights are fitted by conditional likelihood on a bounded sample of labelled
-documents, whose lines take their document's label.
+documents. Only documents have labels; those of the lines are latent: each round
+labels the lines by the model so far, held to the documents' labels in so far as
+most words of a good one are content and most of a poor one boilerplate.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ class QualityConfig:
     fit_documents: int = 1000
     fit_lines: int = 400
     fit_steps: int = 150
+    #: Rounds that label the lines anew, after one with the documents' labels.
+    fit_rounds: int = 2
     ridge: float = 1e-5
     model: LineModel = field(default_factory=LineModel)
 
@@ -176,18 +180,43 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, model: LineModel) -> np.ndar
     return labels
 
 
-def fit_chain(features: list[np.ndarray], labels: list[int], config: QualityConfig) -> LineModel:
+def latent_labels(features: np.ndarray, words: np.ndarray, poor: int, model: LineModel, chained: bool, config: QualityConfig) -> np.ndarray:
+    """Labels of a labelled document's lines: 1 is boilerplate.
+
+    By the model, line by line or chained. Where they leave a poor document
+    enough content, its likeliest lines turn to boilerplate until it has too
+    little, and the other way round for a good one.
+    """
+    scores = features @ np.array(model.weights)
+    if chained:
+        labels = viterbi(np.stack([np.zeros_like(scores), scores], axis=1), np.array([0, len(scores)]), model).astype(np.int64)
+    else:
+        labels = (scores > 0).astype(np.int64)
+    content, total = words[labels == 0].sum(), words.sum()
+    for i in np.argsort(-scores if poor else scores, kind="stable"):
+        if (content < config.min_content * total) == bool(poor):
+            break
+        if labels[i] != poor:
+            labels[i] = poor
+            content += -words[i] if poor else words[i]
+    return labels
+
+
+def fit_chain(features: list[np.ndarray], labels: list[np.ndarray], config: QualityConfig) -> LineModel:
     """Conditional maximum likelihood with a ridge, by Adam steps on all sequences at once."""
     order = sorted(range(len(features)), key=lambda i: -len(features[i]))
     lengths = np.array([len(features[i]) for i in order])
     longest, many = int(lengths[0]), len(order)
     x = np.zeros((many, longest, len(FEATURES)))
+    gold = np.zeros((many, longest), np.int64)
     for row, i in enumerate(order):
         x[row, : lengths[row]] = features[i]
-    gold = np.array([labels[i] for i in order])
+        gold[row, : lengths[row]] = labels[i]
     valid = np.arange(longest) < lengths[:, None]
     going = valid.sum(0)
-    truth = np.eye(2)[gold]
+    truth = np.eye(2)[gold[:, 0]]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (gold[:, :-1][valid[:, 1:]], gold[:, 1:][valid[:, 1:]]), 1)
     theta = np.zeros(len(FEATURES) + 2 + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     total = valid.sum()
@@ -207,12 +236,11 @@ def fit_chain(features: list[np.ndarray], labels: list[int], config: QualityConf
         norm = np.logaddexp(alpha[:, 0, 0] + beta[:, 0, 0], alpha[:, 0, 1] + beta[:, 0, 1])
         odds = np.exp(alpha + beta - norm[:, None, None]) * valid[:, :, None]
         slope = np.zeros_like(theta)
-        slope[:-6] = np.tensordot((valid * gold[:, None]) - odds[:, :, 1], x, 2)
+        slope[:-6] = np.tensordot(gold * valid - odds[:, :, 1], x, 2)
         slope[-6:-4] = (truth - odds[:, 0]).sum(0)
         if longest > 1:
             pairs = alpha[:, :-1, :, None] + moves + (emit + beta)[:, 1:, None, :] - norm[:, None, None, None]
             expected = (np.exp(np.where(valid[:, 1:, None, None], pairs, -np.inf))).sum((0, 1))
-            seen = np.einsum("d,di,dj->ij", (lengths - 1).astype(float), truth, truth)
             slope[-4:] = (seen - expected).ravel()
         slope = slope / total - config.ridge * theta
         first = 0.9 * first + 0.1 * slope
@@ -225,7 +253,9 @@ def fit_line_model(documents: DataFrame, labels: DataFrame, config: QualityConfi
     """Fit on at most ``fit_documents`` labelled documents, the first by a hash of their id.
 
     ``labels(doc_id, quality)``: 1 is good, 0 poor; rows with nulls don't count.
-    Without documents of both kinds the default model is returned.
+    Documents that fail the base rules teach nothing about lines, and of rows
+    that repeat a doc_id one counts, the first by text. Without documents of
+    both kinds the default model is returned.
     """
     usable = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     sample = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.fit_documents)
@@ -235,17 +265,32 @@ def fit_line_model(documents: DataFrame, labels: DataFrame, config: QualityConfi
         for batch in batches:
             data, ends = column_bytes(batch.column("text"))
             for a, b in row_pieces(ends):
-                counts, features, line_row, _ = _measure(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], config.window)
+                counts, features, line_row, line_words = _measure(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], config.window)
                 bounds = np.searchsorted(line_row, np.arange(b - a + 1))
-                for i in np.flatnonzero((counts["n_words"] > 0) & (np.diff(bounds) <= config.fit_lines)):
-                    flat = features[bounds[i] : bounds[i + 1]].ravel().tolist()
-                    yield pa.record_batch([batch.column("doc_id").slice(a + i, 1), batch.column("quality").slice(a + i, 1), pa.array([flat], pa.list_(pa.float64()))], names=["doc_id", "quality", "features"])
-
-    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(lines, "doc_id long, quality int, features array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+                failed = _base_failed(counts, config)
+                for i in np.flatnonzero(~failed & (np.diff(bounds) <= config.fit_lines)):
+                    own = slice(bounds[i], bounds[i + 1])
+                    yield pa.record_batch(
+                        [batch.column("doc_id").slice(a + i, 1), batch.column("quality").slice(a + i, 1), pa.array([features[own].ravel().tolist()]), pa.array([line_words[own].tolist()])],
+                        names=["doc_id", "quality", "features", "words"],
+                    )
+
+    once = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = once.mapInArrow(lines, "doc_id long, quality int, features array<double>, words array<long>").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if len({r["quality"] for r in rows}) < 2:
         return LineModel()
-    return fit_chain([np.array(r["features"]).reshape(-1, len(FEATURES)) for r in rows], [1 - r["quality"] for r in rows], config)
+    features = [np.array(r["features"]).reshape(-1, len(FEATURES)) for r in rows]
+    poor = [1 - r["quality"] for r in rows]
+    model = fit_chain(features, [np.full(len(f), p) for f, p in zip(features, poor)], config)
+    for turn in range(config.fit_rounds):
+        labels = [latent_labels(f, np.array(r["words"]), p, model, turn > 0, config) for f, r, p in zip(features, rows, poor)]
+        model = fit_chain(features, labels, config)
+    return model
+
+
+def _base_failed(found: dict[str, np.ndarray], config: QualityConfig) -> np.ndarray:
+    return (found["n_words"] < config.min_words) | (100 * found["n_repeat_words"] > config.max_repeat_percent * found["n_words"])
 
 
 def _judge(data: np.ndarray, rows: np.ndarray, config: QualityConfig, model: LineModel) -> dict[str, np.ndarray]:
@@ -259,7 +304,7 @@ def _judge(data: np.ndarray, rows: np.ndarray, config: QualityConfig, model: Lin
     words = np.zeros(len(content) + 1, np.int64)
     np.cumsum(np.where(content, line_words, 0), out=words[1:])
     found["content_share"] = np.diff(words[bounds]) / np.maximum(found["n_words"], 1)
-    found["base_failed"] = (found["n_words"] < config.min_words) | (100 * found["n_repeat_words"] > config.max_repeat_percent * found["n_words"])
+    found["base_failed"] = _base_failed(found, config)
     found["kept"] = ~found["base_failed"] & (found["content_share"] >= config.min_content)
     return found
 

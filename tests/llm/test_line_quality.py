@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from pathloom.llm.line_quality import LineModel, QualityConfig, fit_line_model, keep_quality, line_quality, viterbi
+from pathloom.llm.line_quality import LineModel, _judge, _measure, QualityConfig, fit_line_model, keep_quality, line_quality, viterbi
 
 from .conftest import ODD_TEXTS
 
@@ -67,3 +67,44 @@ def test_held_out_accuracy(spark):
     assert sum(right) >= 0.97 * len(right)
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert fit_line_model(documents, none) == LineModel()
+
+
+def mixed(rng, good):
+    """Lines of both kinds in one document: (text, its content lines)."""
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randrange(2, 9)))
+    n = 16
+    content = round(n * (rng.uniform(0.6, 0.9) if good else rng.uniform(0.1, 0.4)))
+    first = rng.randrange(n - content + 1)  # one run of content, as menus and footers surround it
+    lines = []
+    for i in range(n):
+        words = [word() for _ in range(8)]
+        lines.append(" ".join(words) + "." if first <= i < first + content else " ".join(w.upper() + "!!" for w in words))
+    return "\n".join(lines), content
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    rng = random.Random(11)
+    made = [mixed(rng, i % 2) for i in range(160)]
+    documents = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in line_quality(documents, fit_line_model(documents, labels, QualityConfig(fit_steps=80))).collect()}
+    held_out = range(80, 160)
+    assert sum(got[i]["n_content_lines"] == made[i][1] for i in held_out) >= 0.9 * len(held_out)
+    assert sum(got[i]["kept"] == bool(i % 2) for i in held_out) >= 0.97 * len(held_out)
+    assert sum(0 < got[i]["content_share"] < 1 for i in held_out) >= 0.9 * len(held_out)
+
+
+def test_verdicts_equal_all_label_sequences():
+    rng = random.Random(13)
+    model = LineModel(start=(0.2, -0.3), moves=((0.6, -0.8), (-0.5, 0.9)))
+    for _ in range(60):
+        text = "\n".join(" ".join(rng.choice(["plain", "words", "###", "$$$", "LOUD", "9 9"]) for _ in range(rng.randrange(12, 20))) for _ in range(rng.randrange(1, 8)))
+        data, rows = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        counts, features, _, words = _measure(data, rows, 3)
+        scores = features @ np.array(model.weights)
+        value = lambda y: sum(s * l for s, l in zip(scores, y)) + model.start[y[0]] + sum(model.moves[a][b] for a, b in zip(y, y[1:]))
+        best = max(itertools.product((0, 1), repeat=len(words)), key=value)
+        share = sum(int(w) for w, l in zip(words, best) if not l) / max(int(counts["n_words"][0]), 1)
+        verdict = _judge(data, rows, QualityConfig(), model)
+        assert abs(verdict["content_share"][0] - share) < 1e-12
+        assert bool(verdict["kept"][0]) == (not brute(text)[5] and share >= 0.5)
