@@ -51,10 +51,16 @@ _BYTE_SIGNS = _byte_signs()
 
 
 class WordTable:
-    """Ids of the words met so far, by the words' hashes, in open addressing."""
+    """Ids of the words met so far, by the words' hashes, in open addressing.
+
+    The words' characters are kept and compared, so that words whose hashes
+    agree by chance don't get each other's ids.
+    """
 
     #: Distinct words that a worker remembers; beyond, it starts afresh.
     WORDS = 1 << 20
+    #: Characters that it keeps of them; words that are longer together start it afresh as well.
+    SIGNS = 1 << 24
 
     def __init__(self) -> None:
         self.forget()
@@ -66,6 +72,8 @@ class WordTable:
         self.known = 0
         self.ends = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
+        self.bounds = np.zeros(1 << 16, np.int64)
+        self.signs = np.zeros(1 << 18, np.uint32)
 
     def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each hash its slot, or the free one where its probing ends."""
@@ -79,14 +87,21 @@ class WordTable:
             open_ = open_[(found[open_] != hashes[open_]) & (found[open_] != 0)]
         return slots, found == hashes
 
-    def _add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
-        last = int(self.ends[self.known])
-        while len(self.ends) < self.known + len(counts) + 1:
-            self.ends = np.append(self.ends, np.zeros_like(self.ends))
-        while len(self.ids) < last + len(flat):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+    @staticmethod
+    def _room(array: np.ndarray, size: int) -> np.ndarray:
+        while len(array) < size:
+            array = np.append(array, np.zeros_like(array))
+        return array
+
+    def _add(self, hashes: np.ndarray, counts: np.ndarray, flat: np.ndarray, signs: np.ndarray, sizes: np.ndarray) -> None:
+        last, end = int(self.ends[self.known]), int(self.bounds[self.known])
+        top = self.known + len(counts) + 1
+        self.ends, self.bounds = self._room(self.ends, top), self._room(self.bounds, top)
+        self.ids, self.signs = self._room(self.ids, last + len(flat)), self._room(self.signs, end + len(signs))
         self.ids[last : last + len(flat)] = flat
-        self.ends[self.known + 1 : self.known + len(counts) + 1] = last + np.cumsum(counts)
+        self.signs[end : end + len(signs)] = signs
+        self.ends[self.known + 1 : top] = last + np.cumsum(counts)
+        self.bounds[self.known + 1 : top] = end + np.cumsum(sizes)
         numbers = np.arange(self.known, self.known + len(counts), dtype=np.int32)
         self.known += len(counts)
         while len(hashes):
@@ -98,9 +113,10 @@ class WordTable:
             rest[first] = False
             hashes, numbers = hashes[rest], numbers[rest]
 
-    def look_up(self, hashes: np.ndarray, learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and where each word's begin.
 
+        A word is the characters of ``codes`` from its start to its end.
         ``learn`` gets the indices of new words, one of each, and returns how
         many ids each has and all of them.
         """
@@ -109,17 +125,45 @@ class WordTable:
         if not hit.all():
             miss = np.flatnonzero(~hit)
             new, first = np.unique(hashes[miss], return_index=True)
-            if self.known + len(new) > self.WORDS:
+            coming = int((ends - starts)[miss[first]].sum())
+            if self.known + len(new) > self.WORDS or int(self.bounds[self.known]) + coming > self.SIGNS:
                 new, first = np.unique(hashes, return_index=True)
                 self.forget(len(new))
                 miss = np.arange(len(hashes))
-            self._add(new, *learn(miss[first]))
+            fresh = miss[first]
+            self._add(new, *learn(fresh), codes[_joined(starts[fresh], ends[fresh])], ends[fresh] - starts[fresh])
             slots, _ = self._slots(hashes)
         numbers = self.places[slots]
         low = self.ends[numbers]
         many = self.ends[numbers + 1] - low
-        before = np.append(0, np.cumsum(many))
-        return self.ids[np.repeat(low - before[:-1], many) + np.arange(before[-1])], before
+        other = self._others(numbers, codes, starts, ends)
+        if len(other):
+            # the ids of another word with the same hash: these are encoded on their own, unremembered
+            counts, flat = learn(other)
+            base = len(self.ids)
+            pool = np.append(self.ids, flat)
+            low[other], many[other] = base + np.cumsum(counts) - counts, counts
+        else:
+            pool = self.ids
+        return pool[_joined(low, low + many)], np.append(0, np.cumsum(many))
+
+    def _others(self, numbers: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Indices of the words whose characters aren't those kept under their numbers."""
+        low, sizes = self.bounds[numbers], ends - starts
+        wrong = self.bounds[numbers + 1] - low != sizes
+        same = np.flatnonzero(~wrong)
+        differs = self.signs[_joined(low[same], low[same] + sizes[same])] != codes[_joined(starts[same], ends[same])]
+        if differs.any():
+            owner = np.repeat(same, sizes[same])
+            wrong[owner[differs]] = True
+        return np.flatnonzero(wrong)
+
+
+def _joined(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places from each start to its end, one range after another."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 class FastEncoder:
@@ -214,7 +258,7 @@ class FastEncoder:
             encoded = [[t.id for t in split(w.encode().decode("latin-1").translate(_BYTE_SIGNS))] for w in words]
             return np.array([len(e) for e in encoded], np.int64), np.array([i for e in encoded for i in e], np.uint32)
 
-        ids, before = self.table.look_up(span_hashes(codes, starts, ends), learn)
+        ids, before = self.table.look_up(span_hashes(codes, starts, ends), codes, starts, ends, learn)
         return ids, np.diff(before[np.searchsorted(starts, bounds)])
 
 

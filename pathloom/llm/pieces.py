@@ -211,7 +211,7 @@ class PieceEncoder:
 
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        ids, before = self.table.look_up(span_hashes(codes, starts, ends), learn)
+        ids, before = self.table.look_up(span_hashes(codes, starts, ends), codes, starts, ends, learn)
         return ids, np.diff(before[np.searchsorted(starts, bounds)])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:

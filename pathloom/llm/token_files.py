@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import column_bytes, row_pieces
@@ -29,8 +29,9 @@ from .scratch import settle
 class TokenFileConfig:
     tokenizer: str
     end_id: int = 0
-    #: UTF-8 bytes of text that one part gets on average.
+    #: UTF-8 bytes of text that one part gets, unless that makes more than ``most_parts``.
     part_bytes: int = 64 << 20
+    most_parts: int = 100_000
 
 
 def _write(path: fs.FileSystem, name: str, chunks: Iterator[bytes]) -> None:
@@ -42,6 +43,41 @@ def _write(path: fs.FileSystem, name: str, chunks: Iterator[bytes]) -> None:
     path.move(own, name)
 
 
+def _starts(sizes: DataFrame, config: TokenFileConfig) -> list[int]:
+    """The first doc_id of each part but the first: cuts of even size in ``sizes(doc_id, bytes)``.
+
+    Running sums over sorted ranges; rows with one doc_id stay together.
+    """
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    even = max(config.part_bytes, -(-total // config.most_parts))
+    if total <= even:
+        return []
+    ranged = sizes.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id())
+    inside = Window.partitionBy("range").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, 0)
+    summed = settle(ranged.select("range", "doc_id", F.sum("bytes").over(inside).alias("upto")))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    bases = summed.groupBy("range").agg(F.max("upto").alias("own")).select("range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
+    part = F.floor((F.col("base") + F.col("upto") - 1) / even)
+    firsts = summed.join(F.broadcast(bases), "range").groupBy(part.alias("part")).agg(F.min("doc_id").alias("first"))
+    return [r["first"] for r in firsts.where("part > 0 and first is not null").orderBy("first").collect()]
+
+
+def _part_of(doc_id: Column, starts: list[int]) -> Column:
+    """How many starts are not above the id, by halving."""
+    if not starts:
+        return F.lit(0)
+    held = F.lit(starts)
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        going, left = state["low"] < state["high"], F.get(held, middle) <= doc_id
+        return F.struct(F.when(going & left, middle + 1).otherwise(state["low"]).alias("low"), F.when(going & ~left, middle).otherwise(state["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(starts).bit_length()))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(starts)).alias("high")), halve, lambda s: s["low"])
+    return F.when(doc_id.isNull(), 0).otherwise(found)
+
+
 def write_token_files(documents: DataFrame, folder: str, config: TokenFileConfig) -> DataFrame:
     """Write all documents in ascending doc_id and return the parts' manifest.
 
@@ -81,9 +117,8 @@ def write_token_files(documents: DataFrame, folder: str, config: TokenFileConfig
             yield pa.record_batch([pa.array([x], pa.int64()) for x in (part, len(offsets) - 1, nulls, int(offsets[-1]), kind.itemsize)], names=["part", "n_docs", "n_null", "n_ids", "width"])
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // config.part_bytes))
-    ordered = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    starts = _starts(slim.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes")), config)
+    ordered = slim.repartitionById(len(starts) + 1, _part_of(F.col("doc_id"), starts)).sortWithinPartitions("doc_id", "text")
     written = settle(ordered.mapInArrow(run, "part long, n_docs long, n_null long, n_ids long, width long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

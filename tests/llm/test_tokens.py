@@ -1,13 +1,17 @@
 """Tokens, packing and token files against the tokenizers library's own ids."""
 
 import zlib
+from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+from pathloom.llm import fast_tokens, token_files
 from pathloom.llm.arrowtext import column_bytes
 from pathloom.llm.fast_tokens import FastEncoder
 from pathloom.llm.packing import PackConfig, pack, plan_cuts
@@ -48,6 +52,35 @@ def test_fast_ids_are_the_librarys(library):
         assert ids[ends[i] : ends[i + 1]].tolist() + [0] == ids_of(library, text), text
 
 
+def test_equal_hashes_of_different_words(library, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["w" * (1 + i % 7) + "".join(rng.choice(list("abc"), 4)) for i in range(300)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(40)]
+    monkeypatch.setattr(fast_tokens, "span_hashes", lambda codes, starts, ends: (ends - starts).astype(np.uint64) * np.uint64(2))
+    found = FastEncoder(PATH)
+    for a in range(0, 40, 8):
+        data, rows = column_bytes(pa.array(texts[a : a + 8]))
+        ids, counts = found.encode(data, rows)
+        ends = np.append(0, np.cumsum(counts))
+        for i, text in enumerate(texts[a : a + 8]):
+            assert ids[ends[i] : ends[i + 1]].tolist() + [0] == ids_of(library, text), text
+
+
+def test_parts_are_cut_by_bytes(spark):
+    rows = [(i * i, "x" * (5000 if i < 30 else 20)) for i in range(400)] + [(100, "y" * 30_000), (None, "z")]
+    sizes = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "length(text) + 1L bytes").repartition(4)
+    config = TokenFileConfig(PATH, part_bytes=20_000)
+    starts = token_files._starts(sizes, config)
+    assert len(starts) >= 7 and starts == sorted(set(starts))
+    parts = sizes.select("doc_id", "bytes", token_files._part_of(F.col("doc_id"), starts).alias("part")).collect()
+    assert all(r["part"] == sum(s <= r["doc_id"] for s in starts) if r["doc_id"] is not None else r["part"] == 0 for r in parts)
+    filled = Counter()
+    for r in parts:
+        filled[r["part"]] += r["bytes"] if r["doc_id"] != 100 else 0
+    assert max(filled.values()) <= 30_000
+    assert len(token_files._starts(sizes, replace(config, most_parts=3))) <= 3
+
+
 def test_pieces_cover_each_id_once(spark, library, odd_documents, no_documents):
     pieces = pack(odd_documents.repartition(2), PackConfig(PATH, block=5000)).collect()
     by_sequence, by_doc = {}, {}
