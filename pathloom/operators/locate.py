@@ -14,45 +14,46 @@ from ..functions.text import content_hash, snippet
 from .decide import cosine, hash_embed
 
 
-def _pieces(text: str, limit: int) -> list[tuple[int, int]]:
-    """Spans of at most ``limit`` characters: paragraphs, else sentences, else hard cuts."""
-    out = []
-    for start, end in _parts(text, 0, len(text), r"\n\s*\n"):
-        if end - start <= limit:
-            out.append((start, end))
-            continue
-        for a, b in _parts(text, start, end, r"(?<=[.!?])\s+"):
-            out += [(i, min(i + limit, b)) for i in range(a, b, limit)]
-    return out
-
-
-def _parts(text: str, low: int, high: int, pattern: str) -> list[tuple[int, int]]:
-    cuts = [low]
-    for m in re.finditer(pattern, text[low:high]):
-        cuts += [low + m.start(), low + m.end()]
-    cuts.append(high)
-    out = []
-    for a, b in zip(cuts[::2], cuts[1::2]):
-        while a < b and text[a].isspace():
-            a += 1
-        while b > a and text[b - 1].isspace():
-            b -= 1
-        if a < b:
-            out.append((a, b))
-    return out
+#: Ends of paragraphs, and of sentences inside them.
+_GAP = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
+
+
+def _sentences(text: str) -> list[list[tuple[int, int]]]:
+    """The spans of each paragraph's sentences, from one scan over the gaps between them."""
+    paragraphs, at = [[]], 0
+    gaps = [(m.start(), m.end(), re.search(r"\n\s*\n", m[0]) is not None) for m in _GAP.finditer(text)]
+    for start, end, new in [*gaps, (len(text), len(text), True)]:
+        own = text[at:start]
+        left = at + len(own) - len(own.lstrip())
+        if own.strip():
+            paragraphs[-1].append((left, left + len(own.strip())))
+        if new:
+            paragraphs.append([])
+        at = end
+    return [p for p in paragraphs if p]
 
 
 def chunk_spans(text: str, limit: int) -> list[list[tuple[int, int]]]:
-    """Chunks as lists of exact document spans, packed greedily with two characters between them."""
-    chunks, now, size = [], [], 0
-    for a, b in _pieces(text, limit):
-        more = b - a + (2 if now else 0)
-        if now and size + more > limit:
-            chunks.append(now)
-            now, size, more = [], 0, b - a
-        now.append((a, b))
-        size += more
-    return chunks + ([now] if now else [])
+    """Chunks as lists of exact document spans, whose texts join with two characters between them.
+
+    A paragraph is one span if it fits the limit, else its sentences are, the
+    longer ones cut hard. Spans fill a chunk as long as it stays in the limit.
+    """
+    spans = []
+    for sentences in _sentences(text):
+        whole = (sentences[0][0], sentences[-1][1])
+        fits = whole[1] - whole[0] <= limit
+        spans += [whole] if fits else [(at, min(at + limit, end)) for start, end in sentences for at in range(start, end, limit)]
+    chunks, room = [], 0
+    for start, end in spans:
+        size = end - start + 2
+        if size <= room:
+            chunks[-1].append((start, end))
+        else:
+            chunks.append([(start, end)])
+            room = limit + 2
+        room -= size
+    return chunks
 
 
 def chunked(documents: DataFrame, limit: int = 800) -> DataFrame:
