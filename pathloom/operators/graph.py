@@ -96,6 +96,23 @@ class Graph:
     def degrees(self, types: list[str] | None = None, direction: str = "both") -> DataFrame:
         return self.moves(types, direction).groupBy("node").agg(F.count("*").alias("degree"))
 
+    def degrees_by_relation(self, types: list[str] | None = None, direction: str = "both") -> DataFrame:
+        return self.moves(types, direction).groupBy("node", "dir", "rel").agg(F.count("*").alias("degree"))
+
+    def get_edges(self, ids: DataFrame) -> DataFrame:
+        """``ids(id)`` to the edges with these derived ids; ids that don't exist give no row."""
+        named = self.edges.withColumn("id", edge_id(F.col("source"), F.col("type"), F.col("target")))
+        return named.join(ids.select("id").distinct(), "id", "left_semi").select("id", "source", "type", "target")
+
+    def walkable(self, types: list[str]) -> Graph:
+        """Only edges of these relations that have evidence, where the edges tell it."""
+        kept = self.edges.where(F.col("type").isin(*types))
+        return Graph(self.nodes, kept.where(F.size("evidence") > 0) if "evidence" in kept.columns else kept)
+
+    def cleared(self) -> Graph:
+        """The graph without anything in it."""
+        return Graph(self.nodes.where("false"), self.edges.where("false"))
+
     def relation_histogram(self, ids: DataFrame | None = None, top: int | None = 50) -> DataFrame:
         """Edges per (relation, direction), the most common first."""
         near = self.adjacency if ids is None else self.adjacency.join(ids.select("node").distinct(), "node", "left_semi")
@@ -159,6 +176,13 @@ class Graph:
         return frontier
 
 
+def ordered_union(rows: DataFrame, keys: list[str], item: str, order: str, out: str) -> DataFrame:
+    """Each group's distinct items as an array, in the order in which they first come."""
+    first = rows.where(F.col(item).isNotNull()).groupBy(*keys, item).agg(F.min(order).alias("_first"))
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_first", item))).alias("_all"))
+    return listed.select(*keys, F.transform("_all", lambda x: x[item]).alias(out))
+
+
 def elements_from(elements: DataFrame, sources: DataFrame) -> DataFrame:
     """``elements(kind, id, provenance array<struct<source_id,...>>)`` with provenance from ``sources(source_id)``."""
     long = elements.select("kind", "id", F.explode("provenance").alias("p")).select("kind", "id", F.col("p.source_id").alias("source_id"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_answer, tokens
 from .graph import first_by
+from .lineage import numbered
 
 
 def set_scores(answers: DataFrame) -> DataFrame:
@@ -43,11 +44,18 @@ def token_f1(pairs: DataFrame) -> DataFrame:
     return pairs.select("id").join(sums, "id", "left").select("id", f1.alias("f1"))
 
 
+def _at_place(values: DataFrame, keys: list[str], value: str, place: Column) -> DataFrame:
+    """The value of each group at a place from 1 in ascending order; equal values are counted before."""
+    levels = values.groupBy(*keys, value).agg(F.count("*").alias("times"))
+    ranked = numbered(levels, keys, [value], ("times",)).withColumnRenamed("n", "_levels").withColumn("n", F.col("all_times"))
+    found = (F.col("sum_times") >= place) & (F.col("sum_times") - F.col("times") < place)
+    return ranked.where(found).select(*keys, F.col(value).alias("value"))
+
+
 def nearest_rank(values: DataFrame, keys: list[str], value: str, percent: float) -> DataFrame:
     """The ``ceil(percent/100 * n)``-th smallest value of each group."""
-    ranked = values.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(Window.partitionBy(*keys).orderBy(value)).alias("r"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     place = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100.0))
-    return ranked.where(F.col("r") == place).select(*keys, F.col(value).alias("value"))
+    return _at_place(values.where(F.col(value).isNotNull()), keys, value, place)
 
 
 def percentile_disc(value: str, percent: float) -> Column:
@@ -56,9 +64,7 @@ def percentile_disc(value: str, percent: float) -> Column:
 
 def index_percentile(values: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """The value at index ``int(share * n)`` from 0: the scale report's definition."""
-    own = Window.partitionBy(*keys)
-    ranked = values.select(*keys, value, (F.row_number().over(own.orderBy(value)) - 1).alias("r"), F.count("*").over(own).alias("n"))
-    return ranked.where(F.col("r") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(share))))).select(*keys, F.col(value).alias("value"))
+    return _at_place(values, keys, value, F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(share)))) + 1)
 
 
 def absorbing_sum(cost: str) -> Column:
@@ -123,27 +129,23 @@ def auroc(scores: DataFrame) -> DataFrame:
     return pairs.groupBy("system").agg(F.when(total > 0, F.sum("won") / total).alias("auroc"))
 
 
-def _most_confident_first() -> Window:
-    return Window.partitionBy("system").orderBy(F.desc("c"), "question_id")
+def _most_confident_first(scores: DataFrame) -> DataFrame:
+    rows = _sure(scores).withColumn("wrong", 1 - F.col("y"))
+    return numbered(rows, ["system"], [F.desc("c"), F.col("question_id")], ("wrong", "y"))
 
 
 def aurc(scores: DataFrame) -> DataFrame:
     """Area under the risk-coverage curve, its random and perfect references, accuracy at four coverages."""
-    rows = _sure(scores)
-    first = _most_confident_first()
-    k = F.row_number().over(first)
-    wrong = F.sum(1 - F.col("y")).over(first.rowsBetween(Window.unboundedPreceding, 0))
-    n = F.count("*").over(Window.partitionBy("system"))
-    ideal = F.greatest(F.lit(0.0), k - F.sum("y").over(Window.partitionBy("system"))) / k
-    curve = rows.select("system", "y", k.alias("k"), n.alias("n"), (wrong / k).alias("risk"), ideal.alias("ideal"))
+    k = F.col("k")
+    ideal = F.greatest(F.lit(0.0), k - F.col("all_y")) / k
+    curve = _most_confident_first(scores).select("system", "y", "k", "n", (F.col("sum_wrong") / k).alias("risk"), ideal.alias("ideal"))
     at = [F.max(F.when(F.col("k") == F.greatest(F.lit(1), F.floor(F.col("n") * share)), 1 - F.col("risk"))).alias(f"acc_{int(100 * share)}") for share in (0.25, 0.5, 0.75, 1.0)]
     return curve.groupBy("system").agg(F.avg("risk").alias("aurc"), F.avg(1 - F.col("y")).alias("random"), F.avg("ideal").alias("perfect"), *at)
 
 
 def selective_accuracy(scores: DataFrame) -> DataFrame:
     """Accuracy of the most confident half."""
-    ranked = _sure(scores).withColumn("k", F.row_number().over(_most_confident_first())).withColumn("n", F.count("*").over(Window.partitionBy("system")))
-    return ranked.where("k <= n div 2").groupBy("system").agg(F.avg("y").alias("top_half"))
+    return _most_confident_first(scores).where("k <= n div 2").groupBy("system").agg(F.avg("y").alias("top_half"))
 
 
 def calibration_row(scores: DataFrame) -> DataFrame:
@@ -178,14 +180,13 @@ def break_even(costs: DataFrame) -> DataFrame:
 
 def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``x`` and ``y`` by rank correlation, ties with the mean rank."""
-
-    def rank(column: str) -> Column:
-        own = Window.partitionBy(*keys)
-        low = F.rank().over(own.orderBy(column))
-        same = F.count("*").over(Window.partitionBy(*keys, column))
-        return low + (same - 1) / F.lit(2.0)
-
-    return pairs.select(*keys, rank("x").alias("x"), rank("y").alias("y")).groupBy(*keys).agg(F.corr("x", "y").alias("rho"))
+    rows = pairs.select(*keys, "x", "y")
+    for column in ("x", "y"):
+        levels = rows.groupBy(*keys, column).agg(F.count("*").alias("times"))
+        ranks = numbered(levels, keys, [column], ("times",))
+        middle = F.col("sum_times") - (F.col("times") - 1) / F.lit(2.0)
+        rows = rows.join(ranks.select(*keys, column, middle.alias(f"rank_{column}")), [*keys, column])
+    return rows.groupBy(*keys).agg(F.corr("rank_x", "rank_y").alias("rho"))
 
 
 def agreement(runs: DataFrame) -> DataFrame:
@@ -270,9 +271,9 @@ def bootstrap_ci(values: DataFrame, keys: list[str], value: str, resamples: int
     return means.groupBy(*keys).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 
-def platt_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
+def platt_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float]:
     """Slope and intercept of a logistic curve by damped Newton steps."""
-    theta = np.zeros(2)
+    theta = np.array([1.0, 0.0])
     design = np.column_stack([x, np.ones_like(x)])
 
     def loss(t):
@@ -280,7 +281,7 @@ def platt_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
         return float(np.sum(np.logaddexp(0, z) - y * z) + ridge * t @ t / 2)
 
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-design @ theta))
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
         gradient = design.T @ (p - y) + ridge * theta
         hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
         move = np.linalg.solve(hessian, gradient)
@@ -293,23 +294,35 @@ def platt_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return float(theta[0]), float(theta[1])
 
 
-def platt_scaled(scores: DataFrame, fit_limit: int = 20_000, seed: int = 0) -> DataFrame:
+def platt_scaled(scores: DataFrame, fit_limit: int = 20_000, seed: int = 0, splits: int = 1) -> DataFrame:
     """Confidences recalibrated by the curve fitted on the other half of their system's questions.
 
-    Halves come from a hash of the question; at most ``fit_limit`` rows of each
-    half (the first by hash) fit its curve, and every row is rescaled.
+    The curve is over the confidence's logarithm. Halves come from a hash of the
+    question and the number of the split; at most ``fit_limit`` rows of each half
+    (the first by hash) fit its curve, and every row is rescaled.
     """
-    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("c")))
-    rows = _sure(scores).select("system", "question_id", "c", "y", F.log(clipped / (1 - clipped)).alias("x"), F.pmod(F.xxhash64("question_id", F.lit(seed)), F.lit(2)).cast("int").alias("half"))
-    place = Window.partitionBy("system", "half").orderBy(F.xxhash64("question_id"), "question_id")
+    x = F.log(F.greatest(F.lit(1e-6), F.col("c")))
+    rows = _sure(scores).select("system", "question_id", "c", "y", x.alias("x"), F.explode(F.sequence(F.lit(seed), F.lit(seed + splits - 1))).alias("split"))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("question_id", "split"), F.lit(2)).cast("int"))
+    place = Window.partitionBy("system", "split", "half").orderBy(F.xxhash64("question_id"), "question_id")
     sample = rows.withColumn("n", F.row_number().over(place)).where(F.col("n") <= fit_limit)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("question_id")
         a, b = platt_fit(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame({"system": [pdf["system"].iloc[0]], "half": [1 - int(pdf["half"].iloc[0])], "a": [a], "b": [b]})
+        return pd.DataFrame({"system": [pdf["system"].iloc[0]], "split": [int(pdf["split"].iloc[0])], "half": [1 - int(pdf["half"].iloc[0])], "a": [a], "b": [b]})
+
+    curves = sample.groupBy("system", "split", "half").applyInPandas(fit, "system string, split int, half int, a double, b double")
+    scaled = (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("a") * F.col("x") + F.col("b"))))))
+    return rows.join(curves, ["system", "split", "half"]).select("system", "question_id", "split", "half", F.col("c").alias("raw"), scaled.alias("confidence"), "y")
+
 
-    curves = sample.groupBy("system", "half").applyInPandas(fit, "system string, half int, a double, b double")
-    return rows.join(curves, ["system", "half"]).select("system", "question_id", F.col("c").alias("raw"), (1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))).alias("confidence"), "y")
+def platt_report(scores: DataFrame, splits: int = 10) -> DataFrame:
+    """Mean calibration error and Brier score of held-out halves, over all splits both ways: ``(system, ece, brier)``."""
+    held = platt_scaled(scores, splits=splits).withColumn("key", F.concat_ws("|", "system", "split", "half"))
+    rows = held.select(F.col("key").alias("system"), "question_id", "confidence", F.col("y").alias("em"))
+    each = ece(rows).join(brier(rows), "system")
+    return each.groupBy(F.substring_index("system", "|", 1).alias("system")).agg(F.avg("ece").alias("ece"), F.avg("brier").alias("brier"))
 
 
 def logistic_scores(rows: DataFrame, features: list[str], folds: int = 5, limit: int = 20_000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import decide, ingest, link, locate, metrics, mutate, options, reports, walk
-from ..operators.graph import elements_from
+from ..operators.graph import Graph, elements_from, ordered_union
 from ..sources import datasets
 from ..sources import snapshot
 from ..sources import triples as triple_io
@@ -92,7 +92,7 @@ def neighbors_typed(t):
 
 @query("degree_by_relation", GRAPH_SQL + "SELECT node, dir, rel, count(*)::BIGINT AS degree FROM adj GROUP BY ALL")
 def degree_by_relation(t):
-    return star_graph(t).adjacency.groupBy("node", "dir", "rel").agg(F.count("*").alias("degree"))
+    return star_graph(t).degrees_by_relation()
 
 
 @query("degrees", GRAPH_SQL + "SELECT node, count(*)::BIGINT AS degree FROM adj GROUP BY node")
@@ -156,9 +156,9 @@ def find_by_name_ci(t):
     return g.nodes.withColumn("key", F.lower("name")).join(same, "key").drop("key")
 
 
-@query("find_nodes_typed", GRAPH_SQL + "SELECT id, type, name FROM nodes WHERE type = 'nation' AND lower(name) = 'france'")
+@query("find_nodes_typed", GRAPH_SQL + "SELECT id, type, name FROM nodes WHERE type = 'nation' AND lower(name) = 'nation_7'")
 def find_nodes_typed(t):
-    return star_graph(t).find_nodes("France", "nation")
+    return star_graph(t).find_nodes("Nation_7", "nation")
 
 
 @query("get_nodes_semi", GRAPH_SQL + "SELECT id, type, name FROM nodes WHERE id IN (SELECT source FROM edges WHERE type = 'supplied_by')")
@@ -172,9 +172,10 @@ def counts(t):
     return star_graph(t).counts()
 
 
-@query("dangling_edges", GRAPH_SQL + "SELECT source, type, target FROM edges WHERE source NOT IN (SELECT id FROM nodes) OR target NOT IN (SELECT id FROM nodes)")
+@query("dangling_edges", GRAPH_SQL + ", held AS (SELECT id FROM nodes WHERE type NOT IN ('region', 'supplier')) SELECT source, type, target FROM edges WHERE source NOT IN (SELECT id FROM held) OR target NOT IN (SELECT id FROM held)")
 def dangling_edges(t):
-    return star_graph(t).dangling().select("source", "type", "target")
+    g = star_graph(t)
+    return Graph(g.nodes.where("type not in ('region', 'supplier')"), g.edges).dangling().select("source", "type", "target")
 
 
 @query("elements_by_source", "SELECT DISTINCT 'document' AS kind, 'd:' || doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE quality = 0")
@@ -198,9 +199,37 @@ def customer_questions(t) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     config = walk.WalkConfig(strategy="greedy", unit="relation", max_depth=2, stop_at_start=False, max_frontier=2000)
-    return walk.walk(star_graph(t), customer_questions(t), decide.LexicalDecider(stop_weight=0.5), config).select("q", "frontier", "confidence", "finished", "n_decisions", "rank")
-
-
+    answers = walk.walk(star_graph(t), customer_questions(t), decide.LexicalDecider(stop_weight=0.5), config)
+    return answers.select("q", F.array_join("frontier", ",").alias("frontier"), F.round("confidence", 6).alias("confidence"), "finished", "n_decisions", "rank")
+
+
+_WORDS_SQL = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]{{3,}}'))"
+_KEY_SQL = "CASE WHEN dir = 'in' THEN rel || '^-1' ELSE rel END"
+
+
+def _step_sql(beams: str, out: str, stop: float | None) -> str:
+    """One greedy step in SQL: from ``beams(q, question, nodes, seen, logp, decisions, choices, finished)`` to ``out``."""
+    offered = f"SELECT q, question, rel, dir, key, targets, w, ord FROM {out}_weighed"
+    if stop is not None:
+        offered += f" UNION ALL SELECT q, question, NULL, NULL, 'STOP', NULL, {stop}::DOUBLE, max(ord) + 1 FROM {out}_weighed GROUP BY q, question"
+    return f"""{out}_at AS (SELECT q, question, seen, unnest(nodes) AS node, unnest(range(len(nodes))) AS place FROM {beams} WHERE finished IS NULL),
+{out}_met AS (SELECT q, question, rel, dir, other, min(place) AS place FROM {out}_at JOIN adj USING (node) WHERE NOT list_contains(seen, other) GROUP BY ALL),
+{out}_first AS (SELECT *, row_number() OVER (PARTITION BY q, rel, dir ORDER BY place, other) AS n FROM {out}_met),
+{out}_moves AS (SELECT q, question, rel, dir, {_KEY_SQL} AS key, list(other ORDER BY n) AS targets FROM {out}_first WHERE n <= 2000 GROUP BY ALL),
+{out}_weighed AS (SELECT *, 1.0::DOUBLE + len(list_intersect({_WORDS_SQL.format('question')}, {_WORDS_SQL.format("replace(key, '_', ' ')")})) AS w, row_number() OVER (PARTITION BY q ORDER BY dir <> 'out', rel) AS ord FROM {out}_moves),
+{out}_offered AS ({offered}),
+{out}_ranked AS (SELECT *, w / sum(w) OVER (PARTITION BY q) AS p, count(*) OVER (PARTITION BY q) AS n, row_number() OVER (PARTITION BY q ORDER BY w DESC, ord) AS r FROM {out}_offered),
+{out} AS (SELECT b.q, b.question, CASE WHEN c.targets IS NULL THEN b.nodes ELSE c.targets END AS nodes, CASE WHEN c.targets IS NULL THEN b.seen ELSE list_concat(b.seen, c.targets) END AS seen,
+  b.logp + CASE WHEN c.n >= 2 THEN ln(greatest(c.p, 0.001)) ELSE 0 END AS logp, b.decisions + CASE WHEN c.q IS NULL OR c.n >= 2 THEN 1 ELSE 0 END AS decisions, b.choices + CASE WHEN c.n >= 2 THEN 1 ELSE 0 END AS choices,
+  CASE WHEN c.q IS NULL THEN 'dead_end' WHEN c.key = 'STOP' THEN 'stop' END AS finished
+  FROM {beams} b LEFT JOIN {out}_ranked c ON c.q = b.q AND c.r = 1 WHERE b.finished IS NULL UNION ALL SELECT * FROM {beams} WHERE finished IS NOT NULL)"""
+
+
+_GREEDY_SQL = GRAPH_SQL + f""", start AS (SELECT 'c:' || c_custkey AS q, 'which parts do the orders placed by ' || c_name || ' contains' AS question, ['c:' || c_custkey] AS nodes, ['c:' || c_custkey] AS seen, 0.0::DOUBLE AS logp, 0::BIGINT AS decisions, 0::BIGINT AS choices, NULL::VARCHAR AS finished FROM customer),
+{_step_sql('start', 'one', None)},
+{_step_sql('one', 'two', 0.5)}
+SELECT q, array_to_string(list_sort(nodes), ',') AS frontier, round(exp(CASE WHEN decisions = 0 THEN 0 WHEN choices = 0 THEN ln(0.001) ELSE logp / decisions END), 6) AS confidence, coalesce(finished, 'max_depth') AS finished, decisions::BIGINT AS n_decisions, 1::INTEGER AS rank FROM two"""
+_SQL["greedy_walk_lexical"] = _GREEDY_SQL
 _QUERIES["greedy_walk_lexical"] = flagship
 
 
@@ -218,12 +247,12 @@ def beam_walk_table(t):
 
 @query("sample_walk_votes")
 def sample_walk_votes(t):
-    return walk.sampled(star_graph(t), customer_questions(t), decide.LexicalDecider(), walk.WalkConfig(unit="relation", max_depth=1), 8)
+    return walk.sampled(star_graph(t), customer_questions(t), decide.LexicalDecider(), walk.WalkConfig(unit="relation", max_depth=2), 8)
 
 
 @query("escalated_walks")
 def escalated_walks(t):
-    config = walk.WalkConfig(strategy="greedy", unit="relation", max_depth=1, stop_at_start=False)
+    config = walk.WalkConfig(strategy="greedy", unit="relation", max_depth=2, stop_at_start=False)
     return walk.escalated(star_graph(t), customer_questions(t), decide.LexicalDecider(), decide.LexicalDecider(stop_weight=2.0), 0.75, config)
 
 
@@ -349,7 +378,10 @@ def linked_entries(t):
     return link.link(order_questions(t), star_graph(t).nodes.where("type in ('customer', 'nation')").select("id", "name"))
 
 
-@query("title_mentions", f"WITH {_ASK_SQL} SELECT DISTINCT q, n_nationkey AS key FROM asked JOIN nation ON regexp_matches(lower(question), '(^|[^\\p{{L}}\\p{{N}}_])' || lower(n_name) || '($|[^\\p{{L}}\\p{{N}}_])')")
+_SPOKEN_SQL = "' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' '"
+
+
+@query("title_mentions", f"WITH {_ASK_SQL}, spoken AS (SELECT q, {_SPOKEN_SQL.format('question')} AS text FROM asked), titles AS (SELECT n_nationkey AS key, {_SPOKEN_SQL.format('n_name')} AS title FROM nation) SELECT DISTINCT q, key FROM spoken JOIN titles ON contains(text, title)")
 def title_mentions(t):
     return locate.title_mentions(order_questions(t), t.nation.select(F.col("n_nationkey").alias("key"), F.concat("n_name", F.lit(" (nation)")).alias("title")))
 
@@ -521,7 +553,32 @@ def paired_bootstrap(t):
 
 @query("platt_crossfit")
 def platt_crossfit(t):
-    return metrics.platt_scaled(scores(t))
+    return metrics.platt_scaled(scores(t)).drop("split", "half")
+
+
+@query("platt_report")
+def platt_report(t):
+    return rounded(metrics.platt_report(scores(t)))
+
+
+@query("ordered_union", "WITH f AS (SELECT o_custkey AS id, o_orderpriority AS label, min(o_orderkey) AS first FROM orders GROUP BY ALL) SELECT id, string_agg(label, '|' ORDER BY first) AS labels FROM f GROUP BY id")
+def ordered_labels(t):
+    rows = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("ord"))
+    return ordered_union(rows, ["id"], "label", "ord", "labels").select("id", F.array_join("labels", "|").alias("labels"))
+
+
+@query("walkable_edges", GRAPH_SQL + "SELECT source, type, target FROM edges WHERE type IN ('lives_in', 'based_in')")
+def walkable_edges(t):
+    g = star_graph(t)
+    evidence = F.array(F.when(F.col("type") != "in_region", F.col("source")))
+    return Graph(g.nodes, g.edges.withColumn("evidence", F.array_compact(evidence))).walkable(["lives_in", "based_in", "in_region"]).edges.select("source", "type", "target")
+
+
+@query("get_edges", GRAPH_SQL + ", ids AS (SELECT 'e:' || substr(sha256(source || chr(31) || type || chr(31) || target), 1, 32) AS id, * FROM edges WHERE type = 'in_region') SELECT id, source, type, target FROM ids")
+def get_edges(t):
+    g = star_graph(t)
+    wanted = g.edges.where("type = 'in_region'").select(X.edge_id(F.col("source"), F.col("type"), F.col("target")).alias("id"))
+    return g.get_edges(wanted)
 
 
 @query("router_logistic")
