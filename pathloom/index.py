@@ -122,8 +122,11 @@ class Index:
         documents = self.frames["documents"].select("key", "text")
         lists = []
         if mode in ("graph", "hybrid"):
-            spans = self.frames["provenance"].where("start is not null").select(F.col("element").alias("edge"), "key", "start", "end", "confidence")
-            ranked = locate.walked_spans(self.walked_edges(self.walk(questions).where("rank <= 3")), spans)
+            proofs = self.frames["provenance"].select("element", "key", "start", "end", "confidence")
+            answers = walk.settled(self.walk(questions).where("rank <= 3"))
+            reached = answers.select("q", F.col("rank").alias("answer"), F.explode("frontier").alias("node"))
+            entries = self.link(questions).select(F.col("q").cast("string").alias("q"), F.col("rank").alias("ord"), F.col("id").alias("node"))
+            ranked = locate.graph_spans(self.walked_edges(answers), reached, entries, proofs, k)
             lists.append(ranked.select(F.col("q").cast("string").alias("q"), F.lit(0).alias("list"), (F.col("rank") - 1).alias("rank"), "key", "start", "end"))
         if mode in ("dense", "hybrid"):
             chunks = locate.chunked(documents, limit)

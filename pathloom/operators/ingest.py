@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, entity_id, name_key_sql, snake, tokens
+from .lineage import settled
 
 #: The relations that free-form ones are mapped to.
 SCHEMA_RELATIONS = (
@@ -66,6 +67,25 @@ def route_by_name(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return mentions.join(single, "key", "left").select("document", "key", "name", "type", F.coalesce("node", fresh).alias("node"), F.col("node").isNull().alias("created"))
 
 
+def route_windows(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """``mentions(window, document, key, name, type)`` routed window by window: the graph grows in between.
+
+    A window is routed on the names of the graph and of the windows before it.
+    New mentions of one key and type in a window lead to one node, the first
+    document's. Windows are micro-batches, so their numbers are few.
+    """
+    known, out = names.select("id", "key"), None
+    for window in [r[0] for r in mentions.select("window").distinct().orderBy("window").collect()]:
+        routed = route_by_name(mentions.where(F.col("window") == window), known)
+        first = routed.where("created").groupBy("key", "type").agg(F.min_by("node", F.struct("document", "node")).alias("first"), F.min("document").alias("by"))
+        joined = routed.join(first, ["key", "type"], "left")
+        node = F.when(F.col("created"), F.col("first")).otherwise(F.col("node"))
+        own = settled(joined.select("document", "key", "name", "type", node.alias("node"), (F.col("created") & (F.col("document") == F.col("by"))).alias("created")).withColumn("window", F.lit(window)))
+        known = known.unionByName(own.where("created").select(F.col("node").alias("id"), "key").distinct())
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else route_by_name(mentions, names).withColumn("window", F.lit(0))
+
+
 def routing_candidates(mentions: DataFrame, names: DataFrame, limit: int = 8, max_df: int = 200) -> DataFrame:
     """``mentions(m, key)`` to ``(m, id, score, rank)``: exact keys first, then by Jaccard of name words.
 

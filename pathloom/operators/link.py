@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from .decide import hash_embed
+from .locate import dense_top_k
 
 #: English function words, which alone name nothing.
 STOP_WORDS = (
@@ -101,12 +103,21 @@ def fuzzy_candidates(questions: DataFrame, index: DataFrame, idf: DataFrame, top
     return best.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= top)
 
 
-def link(questions: DataFrame, names: DataFrame, entries: int = 2) -> DataFrame:
-    """``(q, id, rank)``: exact mentions in their order, else the best fuzzy names."""
+def link(questions: DataFrame, names: DataFrame, entries: int = 2, nearest: bool = False) -> DataFrame:
+    """``(q, id, rank)``: exact mentions in their order, else the best fuzzy names.
+
+    With ``nearest`` a question that neither finds anything for gets the name
+    whose vector is closest to it.
+    """
     index = name_index(names)
     exact = exact_mentions(questions, index).groupBy("q", "id").agg(F.min("pos").alias("pos"))
     place = Window.partitionBy("q").orderBy("pos", "id")
     first = exact.withColumn("rank", F.row_number().over(place).cast("int")).select("q", "id", "rank")
     rest = questions.join(first.select("q").distinct(), "q", "left_anti")
     fuzzy = fuzzy_candidates(rest, index, name_idf(index), entries).select("q", "id", "rank")
-    return first.unionByName(fuzzy).where(F.col("rank") <= entries)
+    found = first.unionByName(fuzzy).where(F.col("rank") <= entries)
+    if not nearest:
+        return found
+    left = questions.join(found.select("q").distinct(), "q", "left_anti").select("q", hash_embed("question").alias("v"))
+    close = dense_top_k(left, names.select(F.col("id").alias("key"), hash_embed("name").alias("v")), 1)
+    return found.unionByName(close.select("q", F.col("key").alias("id"), "rank"))

@@ -194,6 +194,37 @@ def per_node_spans(spans: DataFrame, limit: int = 3) -> DataFrame:
     return spans.withColumn("n", F.row_number().over(place)).where(F.col("n") <= limit).drop("n")
 
 
+def graph_spans(walked: DataFrame, answers: DataFrame, entries: DataFrame, provenance: DataFrame, k: int, per_node: int = 3) -> DataFrame:
+    """Spans of the walked edges in hop order, then of the answer nodes, then of the entries: ``(q, rank, key, start, end)``.
+
+    ``walked(q, answer, hop, edge)``, ``answers(q, answer, node)``, ``entries(q,
+    ord, node)``, ``provenance(element, key, start, end, confidence)``. At most
+    ``per_node`` spans of a node; what overlaps a span taken before is dropped.
+    """
+    edges = walked_spans(walked, provenance.withColumnRenamed("element", "edge")).select("q", F.lit(0).alias("part"), F.col("rank").alias("a"), F.lit(0).alias("b"), "key", "start", "end")
+    of_nodes = per_node_spans(provenance.withColumnRenamed("element", "node"), per_node)
+    order = Window.partitionBy("node").orderBy(F.desc("confidence"), "key", "start")
+    of_nodes = of_nodes.withColumn("b", F.row_number().over(order))
+    nodes = lambda frame, part, a: frame.join(of_nodes, "node").select("q", F.lit(part).alias("part"), F.col(a).cast("int").alias("a"), "b", "key", "start", "end")
+    parts = edges.unionByName(nodes(answers, 1, "answer")).unionByName(nodes(entries, 2, "ord"))
+    place = Window.partitionBy("q").orderBy("part", "a", "b", "key", "start")
+    ranked = parts.withColumn("rank", F.row_number().over(place).cast("int"))
+    return select_spans(ranked, k)
+
+
+def save_vectors(chunks: DataFrame, path: str) -> None:
+    """``chunks(key, chunk, text)`` with their vectors as Parquet, to be searched again."""
+    chunks.select("key", "chunk", "text", hash_embed("text").alias("v")).write.mode("overwrite").parquet(path)
+
+
+def search_vectors(questions: DataFrame, path: str, k: int) -> DataFrame:
+    """``questions(q, question)`` against saved vectors: ``(q, key, chunk, text, score, rank)``."""
+    saved = questions.sparkSession.read.parquet(path)
+    asked = questions.select("q", hash_embed("question").alias("v"))
+    near = dense_top_k(asked, saved.select(F.struct("key", "chunk").alias("key"), "v"), k).select("q", "key.*", "score", "rank")
+    return near.join(saved.select("key", "chunk", "text"), ["key", "chunk"])
+
+
 def select_spans(spans: DataFrame, k: int) -> DataFrame:
     """``spans(q, rank, key, start, end)``: in rank order those that overlap none taken before, at most k."""
     kinds = dict(spans.dtypes)

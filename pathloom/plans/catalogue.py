@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import decide, ingest, link, locate, metrics, mutate, options, reports, walk
+from ..operators import decide, evaluate, ingest, link, locate, metrics, mutate, options, reports, walk
 from ..operators.graph import Graph, elements_from, ordered_union
 from ..sources import datasets
 from ..sources import snapshot
@@ -769,10 +769,11 @@ def delete_cascade(t):
     return mutate.delete_nodes(g, g.nodes.where("type = 'supplier'").select("id")).edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("upsert_last", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id)::BIGINT AS event_id FROM events GROUP BY user_id")
+@query("upsert_last", "WITH new AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id)::BIGINT AS event_id FROM events WHERE event_id % 3 > 0 AND user_id % 2 = 0 GROUP BY user_id), old AS (SELECT user_id, 'old' AS event_type, min(event_id)::BIGINT AS event_id FROM events GROUP BY user_id) SELECT * FROM new UNION ALL SELECT * FROM old WHERE user_id NOT IN (SELECT user_id FROM new)")
 def upsert_last(t):
-    new = t.events.select("user_id", "event_type", "event_id", F.col("event_id").alias("ord"))
-    return mutate.upsert(new.limit(0).drop("ord"), new, ["user_id"])
+    new = t.events.where("event_id % 3 > 0 and user_id % 2 = 0").select("user_id", "event_type", "event_id", F.col("event_id").alias("ord"))
+    old = t.events.groupBy("user_id").agg(F.lit("old").alias("event_type"), F.min("event_id").alias("event_id"))
+    return mutate.upsert(old, new, ["user_id"])
 
 
 @query("triple_recall", """SELECT c_custkey AS question_id, lower(c_name) AS source, lower(n_name) AS target, true AS found FROM customer JOIN nation ON n_nationkey = c_nationkey
@@ -964,3 +965,77 @@ def linked_choice(t):
     found = keys.join(part_index(t).select("key", "id"), "key").withColumn("rank", F.row_number().over(place)).select("q", "id", "rank")
     decided = found.where("rank <= 8").groupBy("q").agg(F.max("id").alias("id")).withColumn("p", F.lit(0.9))
     return options.choose_entry(found, decided)
+
+
+# --- evaluation of retrieval, written paths, single questions' graphs -------------
+
+@query("question_graph_paths", "SELECT DISTINCT o_custkey AS q, o_custkey || '|p:' || l_partkey AS node FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def question_graph_paths(t):
+    orders = t.orders.select(F.col("o_custkey").alias("question_id"), node_id("o", "o_orderkey").alias("subject"), F.lit("placed_by").alias("relation"), node_id("c", "o_custkey").alias("object"))
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("question_id"), node_id("o", "o_orderkey").alias("subject"), F.lit("contains").alias("relation"), node_id("p", "l_partkey").alias("object"))
+    starts = t.orders.select(F.col("o_custkey").alias("q"), F.concat(F.col("o_custkey").cast("string"), F.lit("|"), node_id("c", "o_custkey")).alias("node")).distinct()
+    return evaluate.question_graph(orders.unionByName(lines)).follow(starts, [("placed_by", "in"), ("contains", "out")])
+
+
+def nation_replies(t) -> DataFrame:
+    """What a writer might have answered for each nation: two good paths, and three that are none."""
+    hop = lambda r, d: f'{{"relation": "{r}", "direction": "{d}"}}'
+    replies = [
+        f'Here: {{"path": [{hop("lives_in", "in")}, {hop("placed_by", "in")}]}}',
+        f'{{"path": [{hop("based_in", "in")}]}}',
+        f'{{"path": [{hop("lives_in", "up")}]}}',
+        f'{{"path": [{hop("likes", "in")}]}}',
+        "no idea",
+    ]
+    pick = F.get(F.array(*map(F.lit, replies)), F.col("n_nationkey") % len(replies))
+    return t.nation.select(node_id("n", "n_nationkey").alias("q"), pick.alias("reply"))
+
+
+@query("path_problems", "SELECT 'n:' || n_nationkey AS q, CASE n_nationkey % 5 WHEN 2 THEN 'unknown direction up' WHEN 3 THEN 'unknown relation likes' WHEN 4 THEN 'no path' END AS problem FROM nation")
+def path_problems(t):
+    return evaluate.parsed_paths(nation_replies(t), star_graph(t).schema()).select("q", "problem")
+
+
+@query("written_paths", "SELECT DISTINCT 'n:' || c_nationkey AS q, 'o:' || o_orderkey AS node FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey FROM supplier WHERE s_nationkey % 5 = 1")
+def written_paths(t):
+    g = star_graph(t)
+    good, _ = evaluate.retry(evaluate.parsed_paths(nation_replies(t), g.schema()).withColumn("attempt", F.lit(1)))
+    return evaluate.run_paths(g, good, good.select("q", F.col("q").alias("node")))
+
+
+_LISTS_SQL = """dense AS (SELECT c_custkey AS q, i + 1 AS rank, (c_custkey + i * i) % 25 AS key FROM customer, range(6) r(i)), graph AS (SELECT c_custkey AS q, i + 1 AS rank, (c_custkey * 3 + i) % 25 AS key FROM customer, range(4) r(i) WHERE c_custkey % 7 > 0),
+near AS (SELECT q, key, row_number() OVER (PARTITION BY q ORDER BY min(rank), key) AS rank FROM dense GROUP BY q, key), walked AS (SELECT q, key, row_number() OVER (PARTITION BY q ORDER BY min(rank), key) AS rank FROM graph GROUP BY q, key),
+gold AS (SELECT c_custkey AS q, c_nationkey AS key FROM customer UNION SELECT c_custkey, c_custkey % 25 FROM customer)"""
+
+
+@query("evidence_rows", f"""WITH {_LISTS_SQL}, titled AS (SELECT q, key, row_number() OVER (PARTITION BY q ORDER BY min(late), min(CASE WHEN late = 0 THEN 0 ELSE rank END), key) AS rank FROM (SELECT c_custkey AS q, c_nationkey AS key, 0 AS late, 0 AS rank FROM customer UNION ALL SELECT q, key, 1, rank FROM near) GROUP BY q, key),
+fused AS (SELECT q, key, row_number() OVER (PARTITION BY q ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, key) AS rank FROM (SELECT q, key, rank FROM near UNION ALL SELECT q, key, rank FROM walked) GROUP BY q, key),
+lists AS (SELECT 'dense' AS method, q, key, rank FROM near UNION ALL SELECT 'title+dense', q, key, rank FROM titled UNION ALL SELECT 'graph', q, key, rank FROM walked UNION ALL SELECT 'hybrid', q, key, rank FROM fused),
+asked AS (SELECT q, m.method, count(*) AS n FROM gold, (VALUES ('dense'), ('title+dense'), ('graph'), ('hybrid')) AS m(method) GROUP BY ALL), hits AS (SELECT l.method, l.q, count(*) FILTER (rank <= 2) AS h2, count(*) FILTER (rank <= 5) AS h5 FROM lists l JOIN gold g ON g.q = l.q AND g.key = l.key GROUP BY ALL)
+SELECT q AS question_id, method, round(coalesce(h2, 0) / n, 6)::DOUBLE AS recall_2, (coalesce(h2, 0) = n)::INTEGER::DOUBLE AS complete_2, round(coalesce(h5, 0) / n, 6)::DOUBLE AS recall_5, (coalesce(h5, 0) = n)::INTEGER::DOUBLE AS complete_5 FROM asked LEFT JOIN hits USING (q, method)""")
+def evidence_rows(t):
+    asked = t.customer.select(F.col("c_custkey").alias("question_id"), "c_nationkey")
+    listed = lambda n, key: asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("question_id", (F.col("i") + 1).alias("rank"), (key % 25).cast("int").alias("key"))
+    dense = listed(6, F.col("question_id") + F.col("i") * F.col("i"))
+    graph = listed(4, F.col("question_id") * 3 + F.col("i")).where("question_id % 7 > 0")
+    mentions = asked.select("question_id", F.col("c_nationkey").alias("key"))
+    gold = mentions.union(asked.select("question_id", (F.col("question_id") % 25).cast("int"))).distinct()
+    return rounded(evaluate.evidence_rows(dense, graph, mentions, gold, (2, 5)).drop("ranked", "gold"))
+
+
+@query("named_searches", """WITH rounds AS (SELECT c_custkey AS q, n_name AS query, n_nationkey, c_custkey % 25 AS seen FROM customer JOIN nation ON c_nationkey = n_nationkey), found AS (SELECT q, n_nationkey AS key, 0 AS rank, seen FROM rounds UNION ALL SELECT q, (n_nationkey * 2 + i) % 25, i + 1, seen FROM rounds, range(4) r(i)),
+best AS (SELECT q, key, min(rank) AS rank FROM found WHERE key <> seen GROUP BY q, key), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, key) AS n FROM best) SELECT q, string_agg(key::VARCHAR, ',' ORDER BY n) AS found FROM ranked WHERE n <= 3 GROUP BY q""")
+def named_searches(t):
+    rounds = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("q"), F.col("n_name").alias("query"), F.array((F.col("c_custkey") % 25).cast("int")).alias("seen"))
+    names = t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    dense = t.nation.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(F.col("n_name").alias("query"), (F.col("i") + 1).alias("rank"), ((F.col("n_nationkey") * 2 + F.col("i")) % 25).cast("int").alias("key"))
+    return evaluate.searched(rounds, names, dense, 3).select("q", F.array_join(F.transform("found", lambda k: k.cast("string")), ",").alias("found"))
+
+
+@query("windowed_routing", """WITH m AS (SELECT c_custkey % 2 AS w, 'd:' || c_custkey AS document, lower(c_mktsegment) AS key FROM customer), f AS (SELECT key, min(w) AS w FROM m GROUP BY key), d AS (SELECT m.key, min(document) AS document, f.w FROM m JOIN f ON m.key = f.key AND m.w = f.w GROUP BY m.key, f.w)
+SELECT m.document, m.key, d.document AS first, m.document = d.document AS created FROM m JOIN d USING (key)""")
+def windowed_routing(t):
+    mentions = t.customer.select((F.col("c_custkey") % 2).alias("window"), node_id("d", "c_custkey").alias("document"), F.lower("c_mktsegment").alias("key"), F.col("c_mktsegment").alias("name"), F.lit("segment").alias("type"))
+    routed = ingest.route_windows(mentions, star_graph(t).names)
+    makers = routed.where("created").select("node", F.col("document").alias("first"))
+    return routed.join(makers, "node").select("document", "key", "first", "created")

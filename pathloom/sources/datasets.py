@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import derived_id, snake
@@ -61,3 +61,28 @@ def anonymised(triples: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame
     aliases = names.select("name", F.when(keep, F.col("name")).otherwise(derived_id("Entity ", 6, F.lit(salt), F.col("name"))).alias("alias"))
     out = triples.join(aliases.withColumnsRenamed({"name": "subject", "alias": "s"}), "subject").join(aliases.withColumnsRenamed({"name": "object", "alias": "o"}), "object")
     return out.select(F.col("s").alias("subject"), "relation", F.col("o").alias("object")), aliases
+
+
+def fanout_pages(questions: DataFrame, most: int = 8) -> DataFrame:
+    """``questions(id, decomposition)`` (JSON text) to ``(id, place, page, title)``: the evidence pages in order, each once.
+
+    Parts of a decomposition have evidence and further parts, depth first; pages
+    without a number are none. Levels beyond ``most`` don't occur.
+    """
+    kind = "array<struct<evidence:struct<pageid:string,revid:string,title:string>,decomposition:string>>"
+    level = questions.select("id", F.array().cast("array<int>").alias("way"), F.col("decomposition").alias("parts"))
+    found = None
+    for _ in range(most):
+        parts = level.select("id", "way", F.posexplode(F.from_json("parts", kind)).alias("i", "part"))
+        here = parts.select("id", F.concat("way", F.array(F.col("i").cast("int"))).alias("way"), "part.*")
+        found = here if found is None else found.unionByName(here)
+        level = here.where("decomposition is not null").select("id", "way", F.col("decomposition").alias("parts"))
+    page = found.select("id", "way", F.col("evidence.pageid").alias("page"), F.col("evidence.revid").alias("rev"), F.col("evidence.title").alias("title"))
+    first = page.where("page rlike '^[0-9]+$' and rev rlike '^[0-9]+$'").groupBy("id", "page").agg(F.min(F.struct("way", "title")).alias("f"))
+    place = Window.partitionBy("id").orderBy("f.way")
+    return first.select("id", F.row_number().over(place).alias("place"), "page", F.col("f.title").alias("title"))
+
+
+def fanout_contexts(pages: DataFrame, corpus: DataFrame, most: int) -> DataFrame:
+    """``pages(id, place, page)`` with the texts of ``corpus(page, title, text)``, cut to so many characters."""
+    return pages.select("id", "place", "page").join(corpus, "page").select("id", "place", "title", F.left("text", F.lit(most)).alias("text"))
