@@ -291,8 +291,7 @@ def nucleus_reshape(t):
 @query("beam_prune", _OPTIONS_SQL + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ln(greatest(p, 0.001)) DESC, ord) AS beam FROM probs) SELECT q, key, beam::BIGINT AS beam FROM ranked WHERE beam <= 3")
 def beam_prune(t):
     scored = decide.normalized(supplier_options(t)).withColumn("score", walk.path_score(F.log(F.greatest("p", F.lit(1e-3))), F.lit(1), F.lit(1), 1.0, 1e-3))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "ord")
-    return scored.withColumn("beam", F.row_number().over(best).cast("long")).where("beam <= 3").select("q", "key", "beam")
+    return walk.keep_best(scored, [F.desc("score"), F.col("ord")], 3).select("q", "key", "beam")
 
 
 @query("path_scores", SCORES_SQL + "SELECT system, question_id, round(CASE WHEN calls = 0 THEN ln(0.001) ELSE ln(greatest(f1, 0.001)) / calls END, 6) AS score FROM scores")
@@ -302,11 +301,15 @@ def path_scores(t):
     return rounded(s.select("system", "question_id", value.alias("score")))
 
 
-@query("walk_answers_grouped", """WITH sets AS (SELECT l_orderkey, l_linestatus, string_agg(DISTINCT l_shipmode, ',' ORDER BY l_shipmode) AS s FROM (SELECT l_orderkey, l_linestatus, l_returnflag AS l_shipmode FROM lineitem) GROUP BY ALL)
-SELECT s AS answer, l_linestatus AS finished, count(*)::BIGINT AS votes, min(l_orderkey)::BIGINT AS first FROM sets GROUP BY ALL""")
+@query("walk_answers_grouped", """WITH b AS (SELECT l_orderkey AS q, l_linestatus AS s, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS frontier, count(*) AS n, l_linestatus <> 'F' AS open FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q, frontier ORDER BY open, n, s) AS i, count(*) OVER (PARTITION BY q, frontier) AS votes FROM b)
+SELECT q::VARCHAR AS q, frontier, votes::BIGINT AS votes, round(exp(-n / 2.0::DOUBLE), 6) AS confidence, row_number() OVER (PARTITION BY q ORDER BY open, n, s)::INTEGER AS rank FROM r WHERE i = 1""")
 def walk_answers_grouped(t):
-    sets = t.lineitem.groupBy("l_orderkey", "l_linestatus").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("answer"))
-    return sets.groupBy("answer", F.col("l_linestatus").alias("finished")).agg(F.count("*").alias("votes"), F.min("l_orderkey").alias("first"))
+    ends = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("q"), "l_linestatus").agg(F.collect_set("l_returnflag").alias("frontier"), (-F.count("*")).cast("double").alias("sum_logp"))
+    two = F.lit(2).cast("long")
+    closed = F.col("l_linestatus") == "F"
+    beams = ends.select("q", "frontier", "sum_logp", two.alias("n_decisions"), two.alias("n_choices"), F.when(closed, "stop").otherwise("max_depth").alias("finished"), F.lit(1).alias("depth"), F.when(closed, 1).otherwise(2).alias("beam"), F.array().cast("array<string>").alias("path"), F.col("q").alias("start"))
+    return rounded(walk.grouped_answers(beams).select("q", F.array_join("frontier", ",").alias("frontier"), "votes", "confidence", "rank"))
 
 
 @query("option_prefilter_overlap", """WITH options AS (SELECT DISTINCT l_suppkey AS q, l_partkey AS ord FROM lineitem), named AS (SELECT q, ord, p_name AS key, s_name || ' ' || p.p_type AS question FROM options JOIN part p ON p_partkey = ord JOIN supplier ON s_suppkey = q),
@@ -320,8 +323,7 @@ def option_prefilter_overlap(t):
 
 @query("frontier_cap", GRAPH_SQL + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY node, rel, dir ORDER BY other) AS n FROM adj) SELECT node, rel, dir, other FROM ranked WHERE n <= 50")
 def frontier_cap(t):
-    place = Window.partitionBy("node", "rel", "dir").orderBy("other")
-    return star_graph(t).adjacency.withColumn("n", F.row_number().over(place)).where("n <= 50").drop("n")
+    return walk.cap_targets(star_graph(t).adjacency, ["node", "rel", "dir"], ["other"], 50).drop("n")
 
 
 @query("token_estimate", "SELECT doc_id, ceil(length(text) / 3)::BIGINT AS tokens FROM documents")
