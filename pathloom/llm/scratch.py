@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session may name none, as in tests; it gets a temporary folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named and not current:
         context.setCheckpointDir(named)
     elif not named and not current:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
     return named or context.getCheckpointDir()
 
