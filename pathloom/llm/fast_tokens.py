@@ -58,9 +58,9 @@ class WordTable:
     """
 
     #: Distinct words that a worker remembers; beyond, it starts afresh.
-    WORDS = 1 << 20
+    WORDS = 1 << 19
     #: Characters that it keeps of them; words that are longer together start it afresh as well.
-    SIGNS = 1 << 24
+    SIGNS = 1 << 22
 
     def __init__(self) -> None:
         self.forget()
