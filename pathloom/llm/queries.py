@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import CONTROLS, chat_report
 from .licenses import scan_licenses
 from .line_quality import fit_line_model, line_quality
+from .merkle import merkle_report
 from .mtree import top_k
 from .near_dup import THREE_WORDS, near_duplicates
 from .packing import PackConfig, pack
@@ -86,6 +87,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), THREE_WORDS)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mtree_top_k": op1_mtree_top_k,
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_entropy_secrets": op8_entropy_secrets,
         "op9_line_quality": op9_line_quality,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -150,5 +156,56 @@ WITH RECURSIVE worded AS (
 SELECT doc_id, n::BIGINT AS n_shingles, min(node) AS component_id, doc_id = min(node) AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n"""
 
 
+#: CRC-32 as a table of its 256 values (``crc.t``) and an expression over a string column's bytes.
+_CRC_TABLE = """steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """Of a text of ASCII signs, in a query that reads ``crc`` too."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def _op11_sql() -> str:
+    def leaf(text: str) -> str:
+        parts = ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256(concat({parts}))"
+
+    def climb(name: str, start: str) -> str:
+        run = "OVER (PARTITION BY key, level, pos // 3 ORDER BY pos ROWS BETWEEN"
+        return f"""{name}_nodes AS (
+  {start}
+  UNION ALL SELECT key, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name}_nodes WHERE n > 1 GROUP BY key, level, pos // 3, n
+), {name}_flanks AS (
+  SELECT *, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {name}_nodes
+)"""
+
+    def fold(name: str, start: str) -> str:
+        return f"""{name}_fold AS (
+  {start}
+  UNION ALL SELECT f.id, f.key, f.level + 1, f.pos // 3, s.n, sha256(s.a || f.own || s.b), f.proof || s.a || s.b
+  FROM {name}_fold f JOIN {name}_flanks s ON s.key = f.key AND s.level = f.level AND s.pos = f.pos WHERE s.n > 1
+), {name}_end AS (SELECT DISTINCT ON (id) * FROM {name}_fold ORDER BY id, level DESC)"""
+
+    return f"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '1' || source END AS key, {leaf('text')} AS leaf,
+    CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 AND text IS NOT NULL THEN {leaf("replace(text, chr(10), '')")} END AS bad
+  FROM documents, crc
+), numbered AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM leaves
+), {climb("source", "SELECT key, 0 AS level, pos, n, leaf AS h FROM numbered")}, subroots AS (
+  SELECT key, h, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM source_nodes WHERE n = 1
+), {climb("top", "SELECT 0 AS key, 0 AS level, pos, n, h FROM subroots")}
+, {fold("source", "SELECT id, key, 0 AS level, pos, n, coalesce(bad, leaf) AS own, '' AS proof FROM numbered")}
+, {fold("top", "SELECT e.id, 0 AS key, 0 AS level, r.pos, r.n, e.own, e.proof FROM source_end e JOIN subroots r USING (key)")}
+SELECT doc_id, leaf, r.h AS subroot, t.h AS root, sha256(e.proof) AS proof_sha256, e.own AS folded_root, e.own = t.h AS verified
+FROM numbered JOIN top_end e USING (id) JOIN subroots r ON r.key = numbered.key, (SELECT h FROM top_nodes WHERE n = 1) t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op10_near_duplicates": _OP10_SQL}
+    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op10_near_duplicates": _OP10_SQL, "op11_merkle_manifest": _op11_sql()}
