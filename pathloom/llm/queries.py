@@ -16,6 +16,7 @@ from .near_dup import THREE_WORDS, near_duplicates
 from .packing import PackConfig, pack
 from .pieces import piece_report
 from .pii import pii_report
+from .repair import damaged, repair_report
 from .scratch import new_folder
 from .secrets import secret_report
 from .token_files import TokenFileConfig, read_token_files, write_token_files
@@ -91,6 +92,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mtree_top_k": op1_mtree_top_k,
@@ -104,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_quality": op9_line_quality,
         "op10_near_duplicates": op10_near_duplicates,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
@@ -207,5 +214,49 @@ SELECT doc_id, leaf, r.h AS subroot, t.h AS root, sha256(e.proof) AS proof_sha25
 FROM numbered JOIN top_end e USING (id) JOIN subroots r ON r.key = numbered.key, (SELECT h FROM top_nodes WHERE n = 1) t"""
 
 
+def _op12_sql() -> str:
+    solid = r"regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '')"
+    edit = lambda letter, cost, tail, line="": f"{{c: {tail}.c + {cost}, a: '{letter}' || {tail}.a, o: {f'list_prepend({line}, {tail}.o)' if line else f'{tail}.o'}}}"
+    insert = lambda role, tail: edit("I", 2, tail, f"'{role}:'")
+
+    def row(state: str, keeps: dict[str, str], role: str, onto: str) -> str:
+        keep = " ".join(f"WHEN code = '{code}' THEN {edit('K', 'more', target, 'said')}" for code, target in keeps.items())
+        own = f"CASE WHEN NOT doomed THEN least({edit('R', '2 + more', onto, f"'{role}:' || text")}, CASE {keep} END) END"
+        return f"least({edit('D', 3, state)}, {own}) AS {state}"
+
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE}, spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations
+), fated AS (SELECT *, {_crc32('id')} % 20 AS fate FROM spaced, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM fated WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS n, right({solid}, 1) AS last FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS code, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed
+), turns AS (
+  SELECT coalesce(conv_id::VARCHAR, '') AS conv, place, n, code, fault IN ('blank', 'duplicate') AS doomed, (fault = 'truncated')::INTEGER AS more, role || ':' || text AS said, text FROM judged
+), ways AS (
+  SELECT DISTINCT conv, n AS place, {{c: 0, a: '', o: []::VARCHAR[]}} AS z, {{c: 4, a: 'II', o: ['user:', 'assistant:']}} AS s, {{c: 2, a: 'I', o: ['assistant:']}} AS u, {{c: 0, a: '', o: []::VARCHAR[]}} AS a FROM turns
+  UNION ALL
+  SELECT conv, place - 1, least(z, {insert('user', 'uu')}), least(s, {insert('user', 'uu')}), uu, least(a, {insert('user', 'u')}) FROM (
+    SELECT *, least(u, {insert('assistant', 'a')}) AS uu FROM (
+      SELECT w.conv, w.place, {row('z', {'s': 's', 'u': 'u'}, 'user', 'u')}, {row('s', {'u': 'u'}, 'user', 'u')}, {row('u', {'a': 'a'}, 'assistant', 'a')}, {row('a', {'u': 'u'}, 'user', 'u')}
+      FROM ways w JOIN turns USING (conv, place)))
+), best AS (SELECT conv, z FROM ways WHERE place = 0
+), states AS (
+  SELECT coalesce(conv_id::VARCHAR, '') AS conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || code NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(z.c, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(array_to_string(z.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS conv FROM conversations) LEFT JOIN best USING (conv) LEFT JOIN states USING (conv)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op10_near_duplicates": _OP10_SQL, "op11_merkle_manifest": _op11_sql()}
+    return {"op1_mtree_top_k": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op10_near_duplicates": _OP10_SQL, "op11_merkle_manifest": _op11_sql(), "op12_conversation_repair": _op12_sql()}
