@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import CONTROLS, chat_report
+from .factor_quality import fit_factor_model, score_quality
 from .licenses import scan_licenses
 from .line_quality import fit_line_model, line_quality
 from .merkle import merkle_report
@@ -97,6 +98,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(conversations), conversations)
 
 
+def op13_factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_factor_model(documents, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mtree_top_k": op1_mtree_top_k,
@@ -111,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_near_duplicates": op10_near_duplicates,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_factor_quality": op13_factor_quality,
     }
 
 
