@@ -15,7 +15,7 @@ from .operators import ingest as steps
 from .operators import link, locate, walk
 from .operators.decide import Decider, LexicalDecider
 from .operators.graph import Graph
-from .sources import snapshot, triples
+from .sources import adjacency, snapshot, triples
 
 SCHEMAS = {
     "nodes": "id string, type string, name string",
@@ -29,6 +29,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str) -> None:
         """Open the last version in a folder, or start an empty one."""
         self.spark, self.path = spark, path
+        self._stored: Graph | None = None
         if snapshot.versions(spark, path):
             self.frames = snapshot.read_version(spark, path, tuple(SCHEMAS))
         else:
@@ -36,11 +37,17 @@ class Index:
 
     @property
     def graph(self) -> Graph:
-        return Graph(self.frames["nodes"], self.frames["edges"])
+        """The last version's; its moves in buckets, unless it was broken off before they were written."""
+        if self._stored is None and (last := max(snapshot.versions(self.spark, self.path), default=0)):
+            buckets = f"{self.path.rstrip('/')}/v{last}/buckets"
+            if adjacency.is_stored(self.spark, buckets):
+                self._stored = adjacency.open_stored(self.spark, buckets, self.frames["edges"])
+        return self._stored or Graph(self.frames["nodes"], self.frames["edges"])
 
     def _keep(self, **changed: DataFrame) -> None:
-        snapshot.write_version(self.path, self.frames | changed)
+        number = snapshot.write_version(self.path, self.frames | changed)
         self.frames = snapshot.read_version(self.spark, self.path, tuple(SCHEMAS))
+        self._stored = adjacency.store(Graph(self.frames["nodes"], self.frames["edges"]), f"{self.path.rstrip('/')}/v{number}/buckets")
 
     def import_triples(self, path: str, default_type: str = "entity") -> DataFrame:
         """Add a triple file; returns the report with new nodes, edges and skipped lines."""
@@ -106,12 +113,13 @@ class Index:
 
     def walked_edges(self, answers: DataFrame) -> DataFrame:
         """``(q, answer, hop, edge)`` of the answers' paths, followed again from their starts."""
-        moves = self.graph.adjacency.withColumn("edge", F.when(F.col("dir") == "out", edge_id(F.col("node"), F.col("rel"), F.col("other"))).otherwise(edge_id(F.col("other"), F.col("rel"), F.col("node"))))
+        edge = F.when(F.col("dir") == "out", edge_id(F.col("node"), F.col("rel"), F.col("other"))).otherwise(edge_id(F.col("other"), F.col("rel"), F.col("node")))
+        graph = self.graph
         at = answers.select("q", F.col("rank").alias("answer"), "path", F.explode(F.split("start", ",")).alias("node"))
         out = None
         for hop in range(answers.agg(F.max(F.size("path"))).first()[0] or 0):
-            here = at.where(F.size("path") > hop).withColumn("rel", F.col("path")[hop]["rel"]).withColumn("dir", F.col("path")[hop]["dir"])
-            step = here.join(moves, ["node", "rel", "dir"])
+            here = at.where(F.size("path") > hop).withColumn("own_rel", F.col("path")[hop]["rel"]).withColumn("own_dir", F.col("path")[hop]["dir"])
+            step = graph.meet(here).where("rel = own_rel and dir = own_dir").withColumn("edge", edge).drop("rel", "dir", "own_rel", "own_dir")
             own = step.select("q", "answer", F.lit(hop).alias("hop"), "edge").distinct()
             out = own if out is None else out.unionByName(own)
             at = step.select("q", "answer", "path", F.col("other").alias("node")).distinct()

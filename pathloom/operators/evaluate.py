@@ -59,10 +59,12 @@ def run_paths(graph: Graph, paths: DataFrame, starts: DataFrame) -> DataFrame:
     at = starts.join(paths.select("q", "path"), "q").select("q", "path", "node").distinct()
     seen, done = at.select("q", "node"), at.where(F.size("path") == 0).select("q", "node")
     hops = paths.agg(F.max(F.size("path"))).first()[0] or 0
-    moves = graph.adjacency.select("node", F.col("rel").alias("relation"), F.col("dir").alias("direction"), "other")
+    relations = paths.select(F.explode("path.relation").alias("relation")).distinct().limit(1001).collect()
+    # few relations are asked of the stored edges themselves
+    used = [r["relation"] for r in relations] if len(relations) <= 1000 else None
     for hop in range(hops):
         here = at.where(F.size("path") > hop).select("q", "path", "node", F.col("path")[hop]["relation"].alias("relation"), F.col("path")[hop]["direction"].alias("direction"))
-        step = here.join(moves, ["node", "relation", "direction"]).select("q", "path", F.col("other").alias("node")).distinct()
+        step = graph.meet(here, used).where("rel = relation and dir = direction").select("q", "path", F.col("other").alias("node")).distinct()
         at = settled(step.join(seen, ["q", "node"], "left_anti"))
         seen = seen.union(at.select("q", "node"))
         done = done.union(at.where(F.size("path") == hop + 1).select("q", "node"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_id, name_key_sql
+from .lineage import first_rows, settled
 
 DIRECTIONS = ("out", "in", "both")
 
@@ -63,11 +64,15 @@ class Graph:
             found = found.where(F.col("rel").isin(*types)) if types else found.where(F.lit(False))
         return found
 
+    def meet(self, frontier: DataFrame, types: list[str] | None = None, direction: str = "both") -> DataFrame:
+        """The rows of ``frontier(node, ...)`` with each move from their node: ``rel``, ``dir``, ``other``."""
+        return frontier.join(self.moves(types, direction), "node")
+
     def neighbors(self, ids: DataFrame, types: list[str] | None = None, direction: str = "both") -> DataFrame:
         """``ids(node)`` to its neighbours with names, in a position per node."""
         place = Window.partitionBy("node").orderBy(*neighbor_order())
         labels = self.nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("type").alias("other_type"))
-        near = self.moves(types, direction).join(ids.select("node").distinct(), "node", "left_semi")
+        near = self.meet(ids.select("node").distinct(), types, direction)
         return near.withColumn("position", F.row_number().over(place).cast("long")).join(labels, "other")
 
     def missing(self, ids: DataFrame) -> DataFrame:
@@ -115,7 +120,7 @@ class Graph:
 
     def relation_histogram(self, ids: DataFrame | None = None, top: int | None = 50) -> DataFrame:
         """Edges per (relation, direction), the most common first."""
-        near = self.adjacency if ids is None else self.adjacency.join(ids.select("node").distinct(), "node", "left_semi")
+        near = self.adjacency if ids is None else self.meet(ids.select("node").distinct())
         counted = near.groupBy("rel", "dir").agg(F.count("*").alias("n"))
         return counted.orderBy(F.desc("n"), "rel", "dir").limit(top) if top else counted
 
@@ -154,24 +159,22 @@ class Graph:
         ``max_nodes`` nodes are expanded for each start, nearer ones and then
         smaller ids first.
         """
-        order = Window.partitionBy("start").orderBy("hop", "node")
         frontier = starts.select("start", "node", F.lit(0).alias("hop")).distinct()
         seen = frontier
         for hop in range(1, hops):
-            step = frontier.join(self.adjacency, "node").select("start", F.col("other").alias("node"), F.lit(hop).alias("hop")).distinct()
-            frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            step = self.meet(frontier).select("start", F.col("other").alias("node"), F.lit(hop).alias("hop")).distinct()
+            frontier = settled(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
             seen = seen.unionByName(frontier)
-        expanded = seen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_nodes)
-        return expanded.join(self.adjacency, "node").groupBy("start", "rel").agg(F.count("*").alias("n"))
+        expanded = first_rows(seen, ["start"], ["hop", "node"], max_nodes).select("start", "node")
+        return self.meet(expanded).groupBy("start", "rel").agg(F.count("*").alias("n"))
 
     def follow(self, starts: DataFrame, path: list[tuple[str, str]]) -> DataFrame:
         """``starts(q, node)`` along a path of (relation, direction) hops; nodes of one q aren't met again."""
         frontier = starts.select("q", "node").distinct()
         visited = frontier
         for rel, direction in path:
-            hop = self.moves([rel], direction).select("node", "other")
-            step = frontier.join(hop, "node").select("q", F.col("other").alias("node")).distinct()
-            frontier = step.join(visited, ["q", "node"], "left_anti")
+            step = self.meet(frontier, [rel], direction).select("q", F.col("other").alias("node")).distinct()
+            frontier = settled(step.join(visited, ["q", "node"], "left_anti"))
             visited = visited.unionByName(frontier)
         return frontier
 

@@ -1,10 +1,11 @@
-"""Cutting lineage, and numbering rows of large groups over ranges."""
+"""Cutting lineage, numbering rows of large groups over ranges, and the first rows of groups of any size."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,13 +14,40 @@ def settled(frame: DataFrame) -> DataFrame:
 
     Only a local session may go without one; it gets a temporary folder.
     """
-    context = frame.sparkSession.sparkContext
+    _shared(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pathloom-"))
-    return frame.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses (not created)."""
+    return f"{_shared(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def first_rows(frame: DataFrame, keys: list[str], order: list[str | Column], limit: int, place: str = "n", spread: int = 32) -> DataFrame:
+    """The first ``limit`` rows of each group in the order, with their place from 1.
+
+    Up to a thousand, Spark drops the others before it shuffles. Beyond that a
+    group is dealt by a hash of its rows to ``spread`` tasks, which drop theirs
+    first, so that none sorts more than a share of a group of any size and no
+    more than so many rows of each group leave a task.
+    """
+    threshold = int(frame.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if limit > threshold:
+        hashed = [c for c, kind in frame.dtypes if not kind.startswith("map")]
+        dealt = frame.withColumn("_deal", F.pmod(F.xxhash64(*hashed), F.lit(spread)))
+        inner = Window.partitionBy(*keys, "_deal").orderBy(*order)
+        frame = dealt.withColumn("_inner", F.row_number().over(inner)).where(F.col("_inner") <= limit).drop("_deal", "_inner")
+    return frame.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= limit)
 
 
 def numbered(frame: DataFrame, keys: list[str], order: list, sums: tuple[str, ...] = ()) -> DataFrame:

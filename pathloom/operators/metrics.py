@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_answer, tokens
 from .graph import first_by
-from .lineage import numbered
+from .lineage import first_rows, numbered
 
 
 def set_scores(answers: DataFrame) -> DataFrame:
@@ -58,8 +58,16 @@ def nearest_rank(values: DataFrame, keys: list[str], value: str, percent: float)
     return _at_place(values.where(F.col(value).isNotNull()), keys, value, place)
 
 
-def percentile_disc(value: str, percent: float) -> Column:
-    return F.expr(f"percentile_disc({percent / 100.0}) WITHIN GROUP (ORDER BY {value})")
+def nearest_ranks(values: DataFrame, keys: list[str], value: str, percents: dict[str, float]) -> DataFrame:
+    """Several of them in one pass, each under its name."""
+    levels = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
+    ranked = numbered(levels, keys, [value], ("times",))
+
+    def at(percent: float) -> Column:
+        place = F.greatest(F.lit(1), F.ceil(F.col("all_times") * percent / 100.0))
+        return F.max(F.when((F.col("sum_times") >= place) & (F.col("sum_times") - F.col("times") < place), F.col(value)))
+
+    return ranked.groupBy(*keys).agg(*(at(p).alias(name) for name, p in percents.items()))
 
 
 def index_percentile(values: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
@@ -80,16 +88,16 @@ def run_totals(calls: DataFrame) -> DataFrame:
 
 def run_summary(scores: DataFrame) -> DataFrame:
     statuses = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "aborted", "error")]
-    return scores.groupBy("system").agg(
+    ranks = nearest_ranks(scores, ["system"], "latency", {"p50": 50, "p95": 95})
+    means = scores.groupBy("system").agg(
         F.count("*").alias("n"),
         *(F.avg(c).alias(c) for c in ("f1", "em", "hits")),
-        percentile_disc("latency", 50).alias("p50"),
-        percentile_disc("latency", 95).alias("p95"),
         F.avg("latency").alias("mean_latency"),
         F.sum("cost").alias("cost"),
         F.avg("calls").alias("calls"),
         *statuses,
     )
+    return means.join(ranks, "system", "left")
 
 
 def by_type(scores: DataFrame) -> DataFrame:
@@ -123,8 +131,9 @@ def brier(scores: DataFrame) -> DataFrame:
 def auroc(scores: DataFrame) -> DataFrame:
     """Chance that a right answer is more confident than a wrong one, ties half; null with one class."""
     levels = _sure(scores).groupBy("system", "c").agg(F.sum("y").alias("right"), F.sum(1 - F.col("y")).alias("wrong"))
-    below = F.coalesce(F.sum("wrong").over(Window.partitionBy("system").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    pairs = levels.withColumn("won", F.col("right") * (below + F.lit(0.5) * F.col("wrong")))
+    # up to a level's own wrong answers, so half of them is taken back
+    ranked = numbered(levels, ["system"], [F.col("c")], ("wrong",))
+    pairs = ranked.withColumn("won", F.col("right") * (F.col("sum_wrong") - F.lit(0.5) * F.col("wrong")))
     total = F.sum("right") * F.sum("wrong")
     return pairs.groupBy("system").agg(F.when(total > 0, F.sum("won") / total).alias("auroc"))
 
@@ -304,8 +313,7 @@ def platt_scaled(scores: DataFrame, fit_limit: int = 20_000, seed: int = 0, spli
     x = F.log(F.greatest(F.lit(1e-6), F.col("c")))
     rows = _sure(scores).select("system", "question_id", "c", "y", x.alias("x"), F.explode(F.sequence(F.lit(seed), F.lit(seed + splits - 1))).alias("split"))
     rows = rows.withColumn("half", F.pmod(F.xxhash64("question_id", "split"), F.lit(2)).cast("int"))
-    place = Window.partitionBy("system", "split", "half").orderBy(F.xxhash64("question_id"), "question_id")
-    sample = rows.withColumn("n", F.row_number().over(place)).where(F.col("n") <= fit_limit)
+    sample = first_rows(rows, ["system", "split", "half"], [F.xxhash64("question_id"), F.col("question_id")], fit_limit)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("question_id")
@@ -333,7 +341,7 @@ def logistic_scores(rows: DataFrame, features: list[str], folds: int = 5, limit:
     fold = F.pmod(F.xxhash64("id"), F.lit(folds)).cast("int")
     own = rows.select("id", "y", *features, fold.alias("fold"))
     others = own.withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("target <> fold")
-    sample = others.withColumn("n", F.row_number().over(Window.partitionBy("target").orderBy(F.xxhash64("id", F.lit(1)), "id"))).where(F.col("n") <= limit)
+    sample = first_rows(others, ["target"], [F.xxhash64("id", F.lit(1)), F.col("id")], limit)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[features].to_numpy(float)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import decide, evaluate, ingest, link, locate, metrics, mutate, options, reports, walk
 from ..operators.graph import Graph, elements_from, ordered_union
-from ..sources import datasets
+from ..sources import adjacency, datasets
 from ..sources import snapshot
 from ..sources import triples as triple_io
 from .star import GRAPH_SQL, SCORES_SQL, Tables, node_id, scores, star_graph, triples
@@ -41,6 +41,11 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     return frame.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes))
 
 
+def stored_star(t: Tables) -> adjacency.StoredGraph:
+    """The tables' graph, written once in buckets: what steps through it shuffles its frontiers alone."""
+    return adjacency.stored_for_now(star_graph(t))
+
+
 # --- graph from triples -------------------------------------------------------
 
 @query("triples_star", GRAPH_SQL + "SELECT subject, relation, object, count(*)::BIGINT AS n FROM triples GROUP BY ALL")
@@ -128,7 +133,7 @@ def top_node_types(t):
 @query("path_orders_of_region", GRAPH_SQL + """SELECT r.id AS q, p.source AS node FROM nodes r JOIN edges i ON i.type = 'in_region' AND i.target = r.id
 JOIN edges l ON l.type = 'lives_in' AND l.target = i.source JOIN edges p ON p.type = 'placed_by' AND p.target = l.source WHERE r.type = 'region' GROUP BY ALL""")
 def path_orders_of_region(t):
-    g = star_graph(t)
+    g = stored_star(t)
     starts = g.nodes.where("type = 'region'").select(F.col("id").alias("q"), F.col("id").alias("node"))
     return g.follow(starts, [("in_region", "in"), ("lives_in", "in"), ("placed_by", "in")])
 
@@ -136,7 +141,7 @@ def path_orders_of_region(t):
 @query("path_parts_of_nation", GRAPH_SQL + """SELECT DISTINCT n.id AS q, s.source AS node FROM nodes n JOIN edges b ON b.type = 'based_in' AND b.target = n.id
 JOIN edges s ON s.type = 'supplied_by' AND s.target = b.source WHERE n.type = 'nation'""")
 def path_parts_of_nation(t):
-    g = star_graph(t)
+    g = stored_star(t)
     starts = g.nodes.where("type = 'nation'").select(F.col("id").alias("q"), F.col("id").alias("node"))
     return g.follow(starts, [("based_in", "in"), ("supplied_by", "in")])
 
@@ -145,7 +150,7 @@ def path_parts_of_nation(t):
 UNION SELECT n.id, a.other FROM nodes n JOIN adj a ON a.node = n.id WHERE n.type = 'customer')
 SELECT start, rel, count(*)::BIGINT AS n FROM near JOIN adj USING (node) GROUP BY ALL""")
 def bfs_relation_counts(t):
-    g = star_graph(t)
+    g = stored_star(t)
     return g.local_relations(g.nodes.where("type = 'customer'").select(F.col("id").alias("start"), F.col("id").alias("node")), 2, 1 << 30)
 
 
@@ -199,7 +204,7 @@ def customer_questions(t) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     config = walk.WalkConfig(strategy="greedy", unit="relation", max_depth=2, stop_at_start=False, max_frontier=2000)
-    answers = walk.walk(star_graph(t), customer_questions(t), decide.LexicalDecider(stop_weight=0.5), config)
+    answers = walk.walk(stored_star(t), customer_questions(t), decide.LexicalDecider(stop_weight=0.5), config)
     return answers.select("q", F.array_join("frontier", ",").alias("frontier"), F.round("confidence", 6).alias("confidence"), "finished", "n_decisions", "rank")
 
 
@@ -235,25 +240,25 @@ _QUERIES["greedy_walk_lexical"] = flagship
 
 @query("beam_walk_lexical")
 def beam_walk_lexical(t):
-    return walk.walk(star_graph(t), customer_questions(t), decide.LexicalDecider(), walk.WalkConfig(unit="relation", width=2, max_depth=2))
+    return walk.walk(stored_star(t), customer_questions(t), decide.LexicalDecider(), walk.WalkConfig(unit="relation", width=2, max_depth=2))
 
 
 @query("beam_walk_table")
 def beam_walk_table(t):
     table = t.spark.createDataFrame([("lives_in", 0.6), ("placed_by^-1", 0.3), ("STOP", 0.1), ("in_region", 0.7), ("based_in^-1", 0.2)], "opt string, w double")
     decisions = t.customer.select(F.col("c_name").alias("cur")).union(t.nation.select("n_name")).distinct().crossJoin(F.broadcast(table))
-    return walk.walk(star_graph(t), customer_questions(t), decide.TableDecider(decisions), walk.WalkConfig(unit="relation", width=2, max_depth=2, directions="both"))
+    return walk.walk(stored_star(t), customer_questions(t), decide.TableDecider(decisions), walk.WalkConfig(unit="relation", width=2, max_depth=2, directions="both"))
 
 
 @query("sample_walk_votes")
 def sample_walk_votes(t):
-    return walk.sampled(star_graph(t), customer_questions(t), decide.LexicalDecider(), walk.WalkConfig(unit="relation", max_depth=2), 8)
+    return walk.sampled(stored_star(t), customer_questions(t), decide.LexicalDecider(), walk.WalkConfig(unit="relation", max_depth=2), 8)
 
 
 @query("escalated_walks")
 def escalated_walks(t):
     config = walk.WalkConfig(strategy="greedy", unit="relation", max_depth=2, stop_at_start=False)
-    return walk.escalated(star_graph(t), customer_questions(t), decide.LexicalDecider(), decide.LexicalDecider(stop_weight=2.0), 0.75, config)
+    return walk.escalated(stored_star(t), customer_questions(t), decide.LexicalDecider(), decide.LexicalDecider(stop_weight=2.0), 0.75, config)
 
 
 def supplier_options(t) -> DataFrame:
@@ -326,6 +331,28 @@ def frontier_cap(t):
     return walk.cap_targets(star_graph(t).adjacency, ["node", "rel", "dir"], ["other"], 50).drop("n")
 
 
+_NEAR_SQL = GRAPH_SQL + f""", asked AS (SELECT node, rel, dir, other, coalesce(o.name, other) AS name, 'parts almond with a ' || n.type || ' like ' || n.name AS question FROM adj JOIN nodes n ON n.id = node LEFT JOIN nodes o ON o.id = other),
+near AS (SELECT *, len(list_intersect({_WORDS_SQL.format('question')}, {_WORDS_SQL.format('name')})) AS shared FROM asked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY node, rel, dir ORDER BY shared DESC, other) AS r FROM near)
+SELECT node, rel, dir, other, row_number() OVER (PARTITION BY node, rel, dir ORDER BY other)::INTEGER AS n FROM ranked WHERE r <= """
+
+
+@query("frontier_cap_near", _NEAR_SQL + "3")
+def frontier_cap_near(t):
+    """Each node's targets closest to a question about it."""
+    g = star_graph(t)
+    here = g.nodes.select(F.col("id").alias("node"), F.concat(F.lit("parts almond with a "), "type", F.lit(" like "), "name").alias("question"))
+    names = g.nodes.select(F.col("id").alias("other"), "name")
+    targets = g.adjacency.join(here, "node").join(names, "other", "left").withColumn("name", F.coalesce("name", "other"))
+    return walk.cap_targets_near(targets, ["node", "rel", "dir"], ["other"], 3).select("node", "rel", "dir", "other", "n")
+
+
+@query("frontier_cap_hubs", GRAPH_SQL + ", ranked AS (SELECT rel, dir, node, other, row_number() OVER (PARTITION BY rel, dir ORDER BY node, other) AS n FROM adj) SELECT rel, dir, node, other, n::INTEGER AS n FROM ranked WHERE n <= 2000")
+def frontier_cap_hubs(t):
+    """Groups that hold a third of all moves, cut to more rows than Spark's own group limit serves."""
+    return walk.cap_targets(star_graph(t).adjacency, ["rel", "dir"], ["node", "other"], 2000)
+
+
 @query("token_estimate", "SELECT doc_id, ceil(length(text) / 3)::BIGINT AS tokens FROM documents")
 def token_estimate(t):
     return t.documents.select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
@@ -1000,7 +1027,7 @@ def path_problems(t):
 
 @query("written_paths", "SELECT DISTINCT 'n:' || c_nationkey AS q, 'o:' || o_orderkey AS node FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'n:' || s_nationkey, 's:' || s_suppkey FROM supplier WHERE s_nationkey % 5 = 1")
 def written_paths(t):
-    g = star_graph(t)
+    g = stored_star(t)
     good, _ = evaluate.retry(evaluate.parsed_paths(nation_replies(t), g.schema()).withColumn("attempt", F.lit(1)))
     return evaluate.run_paths(g, good, good.select("q", F.col("q").alias("node")))
 
