@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, entity_id, name_key_sql, snake, tokens
-from .lineage import settled
+from .lineage import first_rows, settled
 
 #: The relations that free-form ones are mapped to.
 SCHEMA_RELATIONS = (
@@ -94,20 +94,33 @@ def routing_candidates(mentions: DataFrame, names: DataFrame, limit: int = 8, ma
     once, however many nodes have them and mentions ask for them.
     """
     named = names.select("id", "key").distinct()
-    first = Window.partitionBy("key").orderBy("id")
-    nodes = named.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).select("key", "id")
     words = lambda c: F.array_distinct(tokens(F.col(c)))
+    # a node in the result has fewer than ``limit`` nodes before it, each with a few names at most
+    variants = named.groupBy("id").agg(F.count("*").alias("v")).agg(F.coalesce(F.max("v"), F.lit(1))).first()[0]
+    most = limit * variants
+    nodes = first_rows(named, ["key"], ["id"], limit).select("key", "id")
     df = named.select("id", F.explode(words("key")).alias("word")).groupBy("word").agg(F.countDistinct("id").alias("df"))
-    posted = named.select("key").distinct().select("key", F.explode(words("key")).alias("word"))
+    keyed = settled(named.groupBy("key").agg(F.min("id").alias("first")).select("key", "first", words("key").alias("words")).withColumn("size", F.size("words")))
+    posted = keyed.select("key", "first", "words", "size", F.explode("words").alias("word"))
     asked = mentions.select(F.col("key").alias("mkey")).distinct()
     rarest = Window.partitionBy("mkey").orderBy("df", "word")
-    opening = asked.select("mkey", F.explode(words("mkey")).alias("word")).join(df, "word").withColumn("n", F.row_number().over(rarest)).where((F.col("df") <= max_df) | (F.col("n") == 1))
-    pool = opening.select("mkey", "word").join(posted, "word").where("key <> mkey").select("mkey", "key").distinct()
-    jaccard = F.size(F.array_intersect(words("mkey"), words("key"))) / F.size(F.array_union(words("mkey"), words("key")))
-    # a node in the result has fewer than ``limit`` nodes before it, each with a few names at most
-    variants = named.groupBy("id").agg(F.count("*").alias("v")).agg(F.coalesce(F.max("v"), F.lit(1)).alias("v"))
-    better = F.rank().over(Window.partitionBy("mkey").orderBy(F.desc("score")))
-    near = pool.withColumn("score", jaccard).withColumn("r", better).crossJoin(F.broadcast(variants)).where(F.col("r") <= limit * F.col("v"))
+    ranked = asked.select("mkey", words("mkey").alias("mwords")).select("mkey", "mwords", F.explode("mwords").alias("word")).join(df, "word").withColumn("n", F.row_number().over(rarest))
+    opening = settled(ranked.where((F.col("df") <= max_df) | (F.col("n") == 1)))
+    few = opening.where(F.col("df") <= max_df).join(posted.select("word", "key", "first", "words"), "word")
+    # a common word lists its shortest names, which are the best of those that share nothing else
+    wide = opening.where(F.col("df") > max_df)
+    short = first_rows(posted, ["word"], ["size", "first", "key"], most + 1).select("word", "key", "first", "words")
+    shared = F.size(F.array_intersect("mwords", "words"))
+    jaccard = shared / (F.size("mwords") + F.size("words") - shared)
+    scored = lambda pairs: pairs.where("key <> mkey").select("mkey", "key", "first", jaccard.alias("score")).distinct()
+    pool = settled(scored(few).unionByName(scored(wide.join(short, "word"))).distinct())
+    # of the others those that share more words and whose size allows the score that the lists have secured
+    held = first_rows(pool, ["mkey"], [F.desc("score"), "first", "key"], most).groupBy("mkey").agg(F.when(F.count("*") == most, F.min("score")).otherwise(0.0).alias("held"))
+    left = wide.join(held, "mkey", "left").fillna({"held": 0.0}).select("mkey", "mwords", F.col("word").alias("opened"), "held")
+    least, largest = F.least(F.size("mwords"), F.col("size")), F.greatest(F.size("mwords"), F.col("size"))
+    fits = (F.col("opened") == F.col("word")) & (least >= F.col("held") * largest - 1e-9) & (shared > 1)
+    more = scored(left.join(posted, fits)).join(pool.select("mkey", "key"), ["mkey", "key"], "left_anti")
+    near = first_rows(pool.unionByName(more), ["mkey"], [F.desc("score"), "first", "key"], most, "r")
     lexical = near.join(nodes, "key").select("mkey", "id", "score")
     exact = asked.join(nodes, F.col("mkey") == F.col("key")).select("mkey", "id", F.lit(2.0).alias("score"))
     best = exact.unionByName(lexical).groupBy("mkey", "id").agg(F.max("score").alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from .decide import hash_embed
+from .lineage import first_rows, settled
 from .locate import dense_top_k
 
 #: English function words, which alone name nothing.
@@ -84,20 +85,52 @@ def exact_mentions(questions: DataFrame, index: DataFrame) -> DataFrame:
     return kept.join(index.select("key", "id").distinct(), "key").select("q", "pos", "n", "id")
 
 
+def fuzzy_pool(questions: DataFrame, index: DataFrame, idf: DataFrame, most: int) -> DataFrame:
+    """Pairs ``(q, key, first, score)``, among them every question's ``most`` best names; ``first`` is a name's smallest node.
+
+    A name that shares one word with a question scores the better the smaller
+    its total is, so a list of the word's smallest names has all that can be
+    among the best. One that shares several scores at most the sum of the
+    question's weights from the rarest of them on: words are opened, the rarest
+    first, only as long as that sum reaches the score that the lists have
+    secured. So a word that a third of the names have opens next to nothing.
+    """
+    firsts = index.groupBy("key").agg(F.min("id").alias("first"))
+    posted = firsts.select("key", "first", F.explode(content_words(F.col("key"))).alias("word")).join(idf.select("word", "idf", "df"), "word")
+    named = settled(posted.groupBy("key", "first").agg(F.sum("idf").alias("total"), F.collect_set("word").alias("words")))
+    alone = F.round(F.col("idf") * F.col("idf") / F.col("total"), 9)
+    listed = posted.join(named.select("key", "total"), "key").select("word", "key", "first", alone.alias("alone"))
+    short = first_rows(listed, ["word"], [F.desc("alone"), "first", "key"], most).select("word", "key")
+
+    asked = questions.select("q", F.explode(content_words(F.col("question"))).alias("word")).join(idf.select("word", "idf", "df"), "word")
+    weighted = settled(asked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word", "idf", "df"))).alias("asked")))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        own = F.filter("asked", lambda x: F.array_contains("words", x["word"]))
+        shared = F.aggregate(own, F.lit(0.0), lambda s, x: s + x["idf"])
+        both = pairs.join(named, "key").join(weighted, "q").withColumn("m", shared)
+        return both.select("q", "key", "first", F.round(F.col("m") * F.col("m") / F.col("total"), 9).alias("score"))
+
+    each = weighted.select("q", F.posexplode("asked").alias("i", "x"), "asked")
+    near = settled(scored(each.select("q", F.col("x.word").alias("word")).join(short, "word").select("q", "key").distinct()))
+    held = first_rows(near, ["q"], [F.desc("score"), "first", "key"], most).groupBy("q").agg(F.when(F.count("*") == most, F.min("score")).otherwise(0.0).alias("held"))
+    rest = F.aggregate(F.slice("asked", F.col("i") + 1, F.size("asked")), F.lit(0.0), lambda s, x: s + x["idf"])
+    # a word whose names are all listed needn't be opened, nor one after which there is no other
+    wide = each.where((F.col("x.df") > most) & (F.col("i") < F.size("asked") - 1)).select("q", F.col("x.word").alias("word"), (rest + 1e-9).alias("rest"), F.transform(F.slice("asked", F.col("i") + 2, F.size("asked")), lambda x: x["word"]).alias("later"))
+    opened = wide.join(held, "q").where(F.col("rest") >= F.col("held"))
+    names = named.select("key", "total", "words", F.explode("words").alias("word"))
+    fits = (opened["word"] == names["word"]) & (F.col("rest") * F.col("rest") >= F.col("held") * F.col("total")) & F.arrays_overlap("later", "words")
+    more = opened.join(names, fits).select("q", "key").distinct().join(near.select("q", "key"), ["q", "key"], "left_anti")
+    return near.unionByName(scored(more))
+
+
 def fuzzy_candidates(questions: DataFrame, index: DataFrame, idf: DataFrame, top: int = 8) -> DataFrame:
     """Names by the squared matched share of their words' weights, the best per node: ``(q, id, score, rank)``."""
-    # names are scored once, however many nodes have them
-    posted = index.select("key").distinct().select("key", F.explode(content_words(F.col("key"))).alias("word")).join(idf.select("word", "idf"), "word")
-    totals = posted.groupBy("key").agg(F.sum("idf").alias("total"))
-    asked = questions.select("q", F.explode(content_words(F.col("question"))).alias("word"))
-    matched = asked.join(posted, "word").groupBy("q", "key").agg(F.sum("idf").alias("m"))
-    scored = matched.join(totals, "key").withColumn("score", F.round(F.col("m") * F.col("m") / F.col("total"), 9))
-    # a node in the result has fewer than ``top`` nodes before it, each with a few names at most
-    variants = index.groupBy("id").agg(F.countDistinct("key").alias("v")).agg(F.coalesce(F.max("v"), F.lit(1)).alias("v"))
-    better = F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    names = scored.withColumn("r", better).crossJoin(F.broadcast(variants)).where(F.col("r") <= top * F.col("v"))
-    first = Window.partitionBy("key").orderBy("id")
-    nodes = index.select("key", "id").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= top)
+    # names are scored once, however many nodes have them; a node in the result has
+    # fewer than ``top`` nodes before it, each with a few names at most
+    variants = index.groupBy("id").agg(F.countDistinct("key").alias("v")).agg(F.coalesce(F.max("v"), F.lit(1))).first()[0]
+    names = first_rows(fuzzy_pool(questions, index, idf, top * variants), ["q"], [F.desc("score"), "first", "key"], top * variants, "r")
+    nodes = first_rows(index.select("key", "id").distinct(), ["key"], ["id"], top)
     best = names.join(nodes, "key").groupBy("q", "id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(place).cast("int")).where(F.col("rank") <= top)
