@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import content_hash, snippet
-from .decide import cosine, hash_embed
+from .cells import in_cells, open_cells, search
+from .decide import hash_embed
 
 
 #: Ends of paragraphs, and of sentences inside them.
@@ -162,17 +163,11 @@ def overlapping(a_key: Column, a_start: Column, a_end: Column, b_key: Column, b_
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``queries(q, v)`` against ``vectors(key, v)``: ``(q, key, score, rank)`` by cosine, ties to smaller keys.
+    """``queries(q, v)`` against ``vectors(key, v)``: ``(q, key, score, rank)`` by cosine of unit vectors, ties to smaller keys.
 
-    A stated set of queries meets all vectors; it is broadcast if it is small,
-    and each partition's best are kept before the shuffle.
+    Exact; vectors are put in cells first, and only cells are opened whose bound allows it.
     """
-    few = queries.select("q", F.col("v").alias("qv"))
-    if few.count() <= 10_000:
-        few = F.broadcast(few)
-    scored = vectors.crossJoin(few).select("q", "key", F.round(cosine(F.col("qv"), F.col("v")), 9).alias("score"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "key")
-    return scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
+    return search(queries, in_cells(vectors), k)[0]
 
 
 def locate_dense(questions: DataFrame, documents: DataFrame, k: int, limit: int = 800) -> DataFrame:
@@ -213,16 +208,17 @@ def graph_spans(walked: DataFrame, answers: DataFrame, entries: DataFrame, prove
 
 
 def save_vectors(chunks: DataFrame, path: str) -> None:
-    """``chunks(key, chunk, text)`` with their vectors as Parquet, to be searched again."""
-    chunks.select("key", "chunk", "text", hash_embed("text").alias("v")).write.mode("overwrite").parquet(path)
+    """``chunks(key, chunk, text)`` with their vectors in cells as Parquet, to be searched again."""
+    chunks.select("key", "chunk", "text").write.parquet(f"{path.rstrip('/')}/texts")
+    in_cells(chunks.select(F.struct("key", "chunk").alias("key"), hash_embed("text").alias("v"))).save(path)
 
 
 def search_vectors(questions: DataFrame, path: str, k: int) -> DataFrame:
     """``questions(q, question)`` against saved vectors: ``(q, key, chunk, text, score, rank)``."""
-    saved = questions.sparkSession.read.parquet(path)
+    spark = questions.sparkSession
     asked = questions.select("q", hash_embed("question").alias("v"))
-    near = dense_top_k(asked, saved.select(F.struct("key", "chunk").alias("key"), "v"), k).select("q", "key.*", "score", "rank")
-    return near.join(saved.select("key", "chunk", "text"), ["key", "chunk"])
+    near = search(asked, open_cells(spark, path), k)[0].select("q", "key.*", "score", "rank")
+    return near.join(spark.read.parquet(f"{path.rstrip('/')}/texts"), ["key", "chunk"])
 
 
 def select_spans(spans: DataFrame, k: int) -> DataFrame:
