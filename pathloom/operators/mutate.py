@@ -28,7 +28,7 @@ def delete_edges(graph: Graph, edges: DataFrame) -> Graph:
 
 
 def rewired(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``edges(source, type, target, n)`` after ``mapping(absorbed, keep)``.
+    """``edges(source, type, target, n)`` after ``mapping(absorbed, keep)`` in one step; ``merge.merged_edges`` follows chains.
 
     Edges between merged nodes go, self-loops that existed before stay, and
     edges that become one add up their ``n``.

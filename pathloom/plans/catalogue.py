@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import decide, evaluate, ingest, link, locate, metrics, mutate, options, reports, walk
+from ..operators import decide, evaluate, ingest, link, locate, merge, metrics, mutate, options, reports, walk
 from ..operators.graph import Graph, elements_from, ordered_union
 from ..sources import adjacency, datasets
 from ..sources import snapshot
@@ -792,6 +792,37 @@ def attribute_edges(t):
     return mutate.attribute_edges(values, g.names, g.edges)
 
 
+def customer_chains(t) -> DataFrame:
+    """Each customer is merged into the one before, in chains of eight, the last ones first."""
+    k = F.col("c_custkey")
+    return t.customer.where(k % 8 != 0).select(node_id("c", "c_custkey").alias("absorbed"), F.concat(F.lit("c:"), (k - 1).cast("string")).alias("keep"), (-k).alias("ord"))
+
+
+_CHAIN_SQL = GRAPH_SQL + ", heads AS (SELECT id, id AS own, CASE WHEN type = 'customer' THEN 'c:' || (substr(id, 3)::BIGINT - substr(id, 3)::BIGINT % 8) ELSE id END AS head FROM nodes)\n"
+
+
+@query("merge_chain_edges", _CHAIN_SQL + """SELECT coalesce(a.head, source) AS source, type, coalesce(b.head, target) AS target, count(*)::BIGINT AS n FROM edges LEFT JOIN heads a ON a.id = source LEFT JOIN heads b ON b.id = target
+WHERE coalesce(a.head, source) <> coalesce(b.head, target) OR source = target GROUP BY ALL""")
+def merge_chain_edges(t):
+    return merge.merged_edges(star_graph(t).edges.withColumn("n", F.lit(1)), merge.resolved(customer_chains(t)))
+
+
+@query("merge_chain_nodes", _CHAIN_SQL + """SELECT head AS id, any_value(n.type) AS type, arg_min(n.name, length(id) * 1e9 + CASE WHEN n.type = 'customer' THEN substr(id, 3)::BIGINT ELSE 0 END) AS name,
+string_agg(n.name, ',' ORDER BY substr(id, 3)::BIGINT) FILTER (id <> head) AS aliases FROM nodes n JOIN heads USING (id) WHERE n.type IN ('customer', 'nation') GROUP BY head""")
+def merge_chain_nodes(t):
+    nodes = star_graph(t).nodes.where("type in ('customer', 'nation')").select("*", F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("summary"))
+    found, _ = merge.merged_nodes(nodes, merge.resolved(customer_chains(t)))
+    return found.select("id", "type", "name", F.nullif(F.array_join("aliases", ","), F.lit("")).alias("aliases"))
+
+
+@query("removal_cascade", GRAPH_SQL + """, gone AS (SELECT id FROM nodes WHERE type = 'supplier'), named AS (SELECT * FROM edges WHERE type = 'based_in')
+SELECT (SELECT count(*) FROM gone) AS n_nodes, (SELECT count(*) FROM named) AS n_edges,
+(SELECT count(*) FROM edges WHERE type <> 'based_in' AND (source IN (SELECT id FROM gone) OR target IN (SELECT id FROM gone))) AS n_touching""")
+def removal_cascade(t):
+    g = star_graph(t)
+    return merge.cascade(g, g.nodes.where("type = 'supplier'"), g.edges.where("type = 'based_in'"))
+
+
 @query("delete_cascade", GRAPH_SQL + "SELECT type, count(*)::BIGINT AS n FROM edges WHERE source NOT LIKE 's:%' AND target NOT LIKE 's:%' GROUP BY type")
 def delete_cascade(t):
     g = star_graph(t)
