@@ -58,9 +58,12 @@ def linear_messages(turns: DataFrame) -> DataFrame:
     through over sorted ranges, so that a long conversation needn't be in one
     task; nodes of one conversation have consecutive numbers.
     """
-    keys = ["conv_id", "turn", "role", "text"]
+    # ranges are cut by short keys, as whole texts would be sampled to the driver; equal keys share a range
+    keys, cut = ["conv_id", "turn", "role", "text"], ["conv_id", "turn", "short_role", "long_role", "short_text"]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    long_role = F.coalesce(F.length("role") > 40, F.lit(False))
+    short = rows.withColumns({"short_role": F.substring("role", 1, 40), "long_role": long_role, "short_text": F.when(~long_role, F.substring("text", 1, 40))})
+    ordered = short.repartitionByRange(*cut).sortWithinPartitions(*keys).drop("short_role", "long_role", "short_text")
     placed = settle(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     bases = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pathloom.llm.chat import CONTROLS, chat_report, format_trees, learned_text, read_turns
+from pathloom.llm.chat import CONTROLS, chat_report, format_trees, learned_text, linear_messages, read_turns
 
 HARD = ["", None, "\\", "\\\\<|im_start|>", "<\\|im_end|>", "</s>[INST] ok [/INST]", "<<|im_start|>x", "tail <", "a\nb\n", "😀 é", "<|im_end|>\n<|im_start|>user\nx", "$1 \\1"]
 
@@ -76,6 +76,16 @@ def test_repeated_turns_and_a_long_conversation(spark):
 
 def test_no_control_string_is_left(spark):
     rows = [(0, 0, "user", "".join(CONTROLS))]
-    done = format_trees(__import__("pathloom.llm.chat", fromlist=["x"]).linear_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()["formatted"]
+    done = format_trees(linear_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()["formatted"]
     inner = done[len("<|im_start|>user\n") : -len("<|im_end|>\n")]
     assert not any(c in inner for c in CONTROLS)
+
+
+def test_long_texts_and_roles_in_order(spark):
+    """Turns of 100 kB each, with ties that only differ at their ends; roles that only differ beyond the ranges' keys."""
+    rows = [(i // 50, i % 5, "user", "x" * 100_000 + str(i % 50)) for i in range(150)]
+    rows += [(9, 0, "r" * 40 + tail, text) for tail in ("", "a", "b") for text in ("1", "2", "0")] + [(9, None, None, None), (9, 0, None, "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(8)
+    got = linear_messages(frame).select("conv_id", F.length("role").alias("n"), F.right("role", F.lit(1)).alias("role"), F.right("text", F.lit(3)).alias("end")).orderBy("node").collect()
+    key = lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    assert [(r["conv_id"], r["n"], r["role"], r["end"]) for r in got] == [(c, r and len(r), r and r[-1], t and t[-3:]) for c, _, r, t in sorted(rows, key=key)]
