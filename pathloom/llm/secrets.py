@@ -27,14 +27,15 @@ ENTROPY = "entropy"
 
 #: Candidates have a digit and a letter.
 _CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
-#: Strings that look random but are no secrets: samples, host and file paths,
-#: dates, versions, and words joined by signs.
+#: Strings that look random but are no secrets: samples, dates and UUIDs.
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0000000000|1234567890|abcdefgh",
-    r"^/?[A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+/?$",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^[A-Za-z]+(?:[-_][A-Za-z]+)*[-_=]*[0-9]{1,4}$",
+    r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
 )
+#: Paths, names and codes: all parts between signs are words, perhaps with a short number, or numbers.
+_SIGNS = "[/_=+-]+"
+PLAIN_PART = r"^(?:(?:[A-Z]?[a-z]{1,14}(?:[A-Z][a-z]{1,14}){0,3}|[A-Z]{1,14})[0-9]{0,4}|[0-9]{0,14})$"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 
@@ -117,7 +118,8 @@ def with_secrets(frame: DataFrame, text: str, config: SecretConfig = SecretConfi
     )
     rules = {"assign": lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 12, "access": lambda m: F.length(m["text"]) >= 18}
     kept = found.select("*", *(F.filter(k, rules[k]).alias(f"{k}_kept") for k in rules)).withColumn("hex_kept", F.col("hex"))
-    allowed = lambda m: F.exists(F.array(*map(F.lit, ALLOWED)), lambda p: F.call_function("rlike", m["text"], p))
+    plain = lambda m: F.forall(F.split(m["text"], _SIGNS), lambda part: part.rlike(PLAIN_PART))
+    allowed = lambda m: plain(m) | F.exists(F.array(*map(F.lit, ALLOWED)), lambda p: F.call_function("rlike", m["text"], p))
     free = kept.withColumn("string", F.filter(without_overlaps("string", *(f"{k}_kept" for k in KINDS)), lambda m: ~allowed(m)))
     placed = free.withColumn("string", F.transform("string", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), alphabet_places(m["text"]).alias("places"))))
     based = placed.withColumn("base", in_order(*(as_spans(F.col(f"{k}_kept"), k, i) for i, k in enumerate(KINDS))))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import pytest
@@ -253,3 +254,42 @@ def test_findings_equal_a_plain_scan(spark):
         assert [(s["start"], s["end"]) for s in got[i]["spans"] if s["kind"] == "entropy"] == want, text
         many += len(want)
     assert many > 50
+
+
+def planted(rng):
+    """Secrets of several kinds, and what only looks like one."""
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    slashed = lambda: pick(b64, 12) + "/" + pick(b64, 13) + "/" + pick(b64, 13)
+    secret = {
+        "base64": lambda: pick(b64, 40),
+        "slashes": slashed,
+        "url": lambda: pick(b64[:62] + "-_", 32),
+        "lower": lambda: pick("abcdefghijklmnopqrstuvwxyz0123456789", 32),
+        "upper": lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
+    }
+    words = ["usr", "local", "shared", "config", "report", "final", "parts", "Data", "readMe", "index"]
+    plain = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "code": lambda: "-".join([rng.choice(words), pick("0123456789", 6), pick("ABCDEFG", 4), pick("0123456789", 4), rng.choice(words)]),
+        "path": lambda: "/".join(rng.choice(words) for _ in range(5)) + rng.choice(["", "/v"]) + str(rng.randrange(1, 99)),
+        "names": lambda: "_".join(rng.choice(words) for _ in range(5)) + f"_{rng.randrange(10**5)}",
+        "date": lambda: f"backup-2024-0{rng.randrange(1, 10)}-1{rng.randrange(10)}-{pick('abcdef', 8)}",
+    }
+    return secret, plain
+
+
+def test_precision_and_recall(spark):
+    """Keys with slashes are found; UUIDs, codes, paths and dated names are not reported."""
+    rng = random.Random(11)
+    secret, plain = planted(rng)
+    rows = [(kind, f"see {make()} there") for kinds in (secret, plain) for kind, make in kinds.items() for _ in range(60)]
+    rows = [(kind, t) for kind, t in rows if kind != "slashes" or re.search("[0-9]", t)]
+    found = find_secrets(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    hits = Counter(rows[r["doc_id"]][0] for r in found if any(s["kind"] == "entropy" and s["start"] == 4 for s in r["spans"]))
+    many = Counter(kind for kind, _ in rows)
+    assert all(hits[kind] >= 0.9 * many[kind] for kind in secret), hits
+    assert all(hits[kind] == 0 for kind in plain), hits
+    examples = ["aK9/dQ2xLm7Zp0Rt5Vw8Yb3Nc6Hf1Jg4SeUi9Ol2", "sku-000123-ABCD-5678-efgh-9012", "product_code_12345_variant_67890", "a1B2" * 20000, "ab/1" * 20000]
+    got = find_secrets(spark.createDataFrame(list(enumerate(examples)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [len(r["spans"]) for r in got] == [1, 0, 0, 0, 0]  # two characters in turn have no entropy, and plain parts are a path
