@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import WHITE, column_bytes, mix, row_pieces, span_hashes, window_hashes, word_spans
+from .arrowtext import WHITE, column_bytes, mix, row_pieces, span_hashes, tidy, window_hashes, word_spans
+from .scratch import small_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -276,7 +277,8 @@ def fit_line_model(documents: DataFrame, labels: DataFrame, config: QualityConfi
                     )
 
     once = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    rows = once.mapInArrow(lines, "doc_id long, quality int, features array<double>, words array<long>").collect()
+    small_batches(documents.sparkSession)
+    rows = once.mapInArrow(tidy(lines), "doc_id long, quality int, features array<double>, words array<long>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     if len({r["quality"] for r in rows}) < 2:
         return LineModel()
@@ -329,7 +331,8 @@ def line_quality(documents: DataFrame, model: LineModel, config: QualityConfig =
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), *(pa.array(found[c]) for c in _COLUMNS)], names=["doc_id", *_COLUMNS])
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
+    small_batches(documents.sparkSession)
+    return slim.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{c} {t}" for c, t in _COLUMNS.items()))
 
 
 def keep_quality(documents: DataFrame, model: LineModel, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -343,4 +346,5 @@ def keep_quality(documents: DataFrame, model: LineModel, config: QualityConfig =
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return documents.mapInArrow(run, documents.schema)
+    small_batches(documents.sparkSession)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -19,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import column_bytes, row_pieces
+from .arrowtext import column_bytes, row_pieces, tidy
 from .fast_tokens import FastEncoder, encoder, with_end
+from .scratch import small_batches
 
 
 @dataclass(frozen=True)
@@ -176,4 +177,5 @@ def pack(documents: DataFrame, config: PackConfig) -> DataFrame:
             yield _pieces(doc_ids, np.concatenate(counts), np.concatenate(ids), closes, sequence, config)[0]
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    small_batches(documents.sparkSession)
+    return slim.mapInArrow(tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -30,6 +30,17 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's default of 64 MB.
+BATCH = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python workers in small batches, unless the session names a size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, BATCH)
+
+
 def settle(frame: DataFrame) -> DataFrame:
     """Compute the frame once, keep it in the shared folder and cut its lineage."""
     shared_folder(frame.sparkSession)
