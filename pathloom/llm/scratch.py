@@ -37,7 +37,7 @@ BATCH = "4m"
 def small_batches(spark: SparkSession) -> None:
     """Send whole texts to Python workers in small batches, unless the session names a size of its own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") in ("67108864b", "64m", "64MB"):
+    if spark.conf.get(name, "64m") in ("67108864b", "64m", "64MB"):
         spark.conf.set(name, BATCH)
 
 
