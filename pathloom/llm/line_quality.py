@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import WHITE, column_bytes, mix, row_pieces, span_hashes, tidy, window_hashes, word_spans
+from .arrowtext import WHITE, column_bytes, give_back, mix, row_pieces, span_hashes, tidy, window_hashes, word_spans
 from .scratch import small_batches
 
 SYMBOLS = np.zeros(256, bool)
@@ -288,6 +288,8 @@ def fit_line_model(documents: DataFrame, labels: DataFrame, config: QualityConfi
     for turn in range(config.fit_rounds):
         labels = [latent_labels(f, np.array(r["words"]), p, model, turn > 0, config) for f, r, p in zip(features, rows, poor)]
         model = fit_chain(features, labels, config)
+    del rows, features, labels
+    give_back()
     return model
 
 
