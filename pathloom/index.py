@@ -15,7 +15,7 @@ from .operators import ingest as steps
 from .operators import link, locate, walk
 from .operators.decide import Decider, LexicalDecider
 from .operators.graph import Graph
-from .sources import adjacency, snapshot, triples
+from .sources import adjacency, replies, snapshot, triples
 
 SCHEMAS = {
     "nodes": "id string, type string, name string",
@@ -25,6 +25,10 @@ SCHEMAS = {
 }
 
 
+#: Stands for the hash of a document of which some chunk has no readable reply.
+INCOMPLETE = "incomplete"
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str) -> None:
         """Open the last version in a folder, or start an empty one."""
@@ -57,11 +61,14 @@ class Index:
         self._keep(nodes=nodes, edges=edges.select("source", "type", "target"))
         return self.spark.createDataFrame(counts)
 
-    def ingest(self, documents: DataFrame, extract: Callable[[DataFrame], DataFrame], limit: int = 2000) -> DataFrame:
+    def ingest(self, documents: DataFrame, extract: Callable[[DataFrame], DataFrame], limit: int = 2000, version: str = "1") -> DataFrame:
         """Bring the graph up to date with all ``documents(key, title, text)``; returns their states.
 
         Only new and changed documents are chunked and given to ``extract``,
-        which turns ``(chunk, text)`` into ``(chunk, reply)``. What changed or
+        which turns ``(chunk, text, error)`` into ``(chunk, reply)``. Replies are
+        kept (``sources.replies``): ingestion that broke off asks only for the
+        rest, and a document without a readable reply to each chunk is tried
+        again by the next call. ``version`` names the extractor. What changed or
         removed documents alone supported goes. Elements without provenance
         (imported ones) stay.
         """
@@ -78,7 +85,10 @@ class Index:
 
         chunks = locate.chunked(fresh, limit).select(F.concat_ws("#", "key", "chunk").alias("chunk"), "key", "pieces", "text")
         chunks = walk.settled(chunks)
-        mentions, facts = steps.clean_extractions(steps.parse_extractions(extract(chunks.select("chunk", "text"))))
+        said = walk.settled(replies.extracted(chunks.select("chunk", "text"), extract, f"{self.path.rstrip('/')}/replies", version))
+        failed = said.where("error is not null").join(chunks.select("chunk", "key"), "chunk").select("key").distinct().withColumn("failed", F.lit(True))
+        fresh = fresh.join(failed, "key", "left").withColumn("hash", F.when(F.col("failed"), INCOMPLETE).otherwise(F.col("hash"))).drop("failed")
+        mentions, facts = steps.clean_extractions(steps.parse_extractions(said.where("error is null").select("chunk", "reply")))
         placed = mentions.join(chunks.select("chunk", F.col("key").alias("document")), "chunk")
         routed = walk.settled(steps.route_by_name(placed.select("document", "key", "name", "type").distinct(), Graph(nodes, edges).names).dropDuplicates(["document", "key"]))
         own = placed.select("chunk", "document", "key").join(routed.select("document", "key", "node"), ["document", "key"])
@@ -103,6 +113,10 @@ class Index:
         )
         return states
 
+    def incomplete(self) -> DataFrame:
+        """Documents that the next ingestion tries again: ``(key)``."""
+        return self.frames["documents"].where(F.col("hash") == INCOMPLETE).select("key")
+
     def link(self, questions: DataFrame, entries: int = 2) -> DataFrame:
         return link.link(questions, self.frames["nodes"].select("id", "name"), entries)
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import decide, evaluate, ingest, link, locate, merge, metrics, mutate, options, reports, walk
 from ..operators.graph import Graph, elements_from, ordered_union
+from ..operators.lineage import scratch_path
 from ..sources import adjacency, datasets
+from ..sources import replies as reply_store
 from ..sources import snapshot
 from ..sources import triples as triple_io
 from .star import GRAPH_SQL, SCORES_SQL, Tables, node_id, scores, star_graph, triples
@@ -996,6 +998,22 @@ def ingest_counters(t):
     return reports.ingest_counters(t.events.select(F.col("user_id").alias("document"), F.col("event_type").alias("kind")))
 
 
+def scripted_replies(asked: DataFrame) -> DataFrame:
+    """An extractor that fails now and then: every third length at first, every seventh always."""
+    n = F.length("text")
+    reply = F.when(n % 7 == 0, "no idea").when((n % 3 == 0) & F.col("error").isNull(), '{"entities": 5}').otherwise('Here: {"entities": [], "relations": []}')
+    return asked.select("chunk", reply.alias("reply"))
+
+
+@query("resumed_extraction", "SELECT doc_id AS chunk, CASE WHEN length(t) % 7 = 0 OR length(t) % 3 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN length(t) % 7 = 0 THEN 'no object' END AS error FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def resumed_extraction(t):
+    """The first of several windows, then a second run that takes up the rest."""
+    chunks, folder = t.documents.select(F.col("doc_id").alias("chunk"), "text"), scratch_path(t.documents.sparkSession, "replies")
+    size = max(1, chunks.count() // 3)
+    reply_store.extracted(chunks, scripted_replies, folder, size=size, windows=1)
+    return reply_store.extracted(chunks, scripted_replies, folder, size=size).select("chunk", "attempts", "error")
+
+
 @query("agent_table", "WITH r AS (SELECT o_orderpriority AS arm, o_orderkey, count(*) AS n, sum(l_quantity) AS tokens, sum(l_extendedprice) AS cost, avg(l_discount) AS f1, bool_or(l_returnflag = 'R') AS grounded FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) SELECT arm, count(*)::BIGINT AS n, round(avg(n), 4) AS turns, round(avg(tokens), 4) AS tokens, round(avg(cost), 4) AS cost, round(avg(f1), 4) AS f1, round(avg(CASE WHEN grounded THEN 1::DOUBLE ELSE 0 END), 4) AS grounded, round(avg(n), 4) AS tool_calls FROM r GROUP BY arm")
 def agent_table(t):
     rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))

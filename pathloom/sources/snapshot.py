@@ -78,11 +78,14 @@ def status(documents: DataFrame) -> DataFrame:
     return documents.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("hash_only"))
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
     fs, root = _fs(spark, path)
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    names = children(spark, path)
     return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
 
