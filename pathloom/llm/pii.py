@@ -112,13 +112,13 @@ def _usable(word: Column, config: PiiConfig) -> Column:
 
 
 def _runs(words: str, before: bool, config: PiiConfig) -> Column:
-    """Hashes of the nearest word, of the nearest two, and so on, in reading order, as far as all are usable."""
+    """Size and hash of the nearest word, of the nearest two, and so on, in reading order, as far as all are usable."""
     many = config.left if before else config.right
     grams = []
     for n in range(1, many + 1):
         own = F.slice(words, F.lit(1), F.lit(n))
         usable = F.forall(own, lambda w: _usable(w, config)) & (F.size(words) >= n)
-        grams.append(F.when(usable, F.xxhash64(F.array_join(F.reverse(own) if before else own, " "))))
+        grams.append(F.when(usable, F.struct(F.lit(n).alias("size"), F.xxhash64(F.array_join(F.reverse(own) if before else own, " ")).alias("gram"))))
     return F.array_compact(F.array(*grams))
 
 
@@ -129,7 +129,7 @@ def _shape(text: Column) -> Column:
 
 
 def _with_patterns(slots: DataFrame, config: PiiConfig) -> DataFrame:
-    """Slots, a row each, with the patterns around them: the array ``patterns`` of (gram, pattern).
+    """Slots, a row each, with the patterns around them: the array ``patterns`` of (size, gram, pattern).
 
     ``gram`` is the hash of the words in reading order, the same wherever they
     stand in a text; shapes have none, as their occurrences are counted among
@@ -140,19 +140,27 @@ def _with_patterns(slots: DataFrame, config: PiiConfig) -> DataFrame:
     grams = worded.withColumn("left_grams", _runs("left", True, config)).withColumn("right_grams", _runs("right", False, config))
     first = F.get(F.col("left"), 0)
     shape = F.when(_usable(F.coalesce(first, F.lit("0")), config), F.xxhash64(F.lit("shape"), first, _shape(F.col("string"))))
-    entry = lambda side: lambda g: F.struct(g.alias("gram"), F.xxhash64(F.lit(side), g).alias("pattern"))
-    bare_shape = F.transform(F.array_compact(F.array(shape)), lambda p: F.struct(F.lit(None).cast("long").alias("gram"), p.alias("pattern")))
+    entry = lambda side: lambda g: F.struct(g["size"].alias("size"), g["gram"].alias("gram"), F.xxhash64(F.lit(side), g["gram"]).alias("pattern"))
+    bare_shape = F.transform(F.array_compact(F.array(shape)), lambda p: F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("long").alias("gram"), p.alias("pattern")))
     return grams.withColumn("patterns", F.concat(F.transform("left_grams", entry("left")), F.transform("right_grams", entry("right")), bare_shape))
 
 
-def _occurrences(texts: DataFrame, asked: DataFrame, config: PiiConfig) -> DataFrame:
-    """How often each asked gram stands in the texts: ``(gram, occurrences)``."""
+def _occurrences(texts: DataFrame, asked: DataFrame, sizes: list[int]) -> DataFrame:
+    """How often each asked gram stands in the texts: ``(gram, occurrences)``.
+
+    ``sizes`` are the numbers of words that asked grams have. Neighbours come
+    from shifted arrays, so that a word is exploded once and hashed without
+    being cut out of its text again.
+    """
+    if not sizes:
+        return asked.select("gram", F.lit(0).cast("long").alias("occurrences")).limit(0)
+    shifted = ["words", *(F.slice("words", F.lit(n), F.greatest(F.size("words"), F.lit(1))).alias(f"w{n}") for n in range(2, max(sizes) + 1))]
     words = F.filter(F.split(F.lower("text"), _BLANK), lambda w: w != "")
-    longest = max(config.left, config.right)
-    gram = lambda i, n: F.xxhash64(F.array_join(F.slice("words", i + 1, F.lit(n)), " "))
-    of_size = lambda n: F.transform("words", lambda w, i: F.when(i + n <= F.size("words"), gram(i, n)))
-    spoken = texts.select(words.alias("words")).select(F.explode(F.concat(*map(of_size, range(1, longest + 1)))).alias("gram"))
-    return spoken.join(asked, "gram").groupBy("gram").agg(F.count("*").alias("occurrences"))
+    spoken = texts.select(words.alias("words")).where(F.size("words") > 0).select(F.explode(F.arrays_zip(*shifted)).alias("near")).select("near.*")
+    word = lambda n: F.col("words" if n == 1 else f"w{n}")
+    gram = lambda n: F.when(word(n).isNotNull(), F.xxhash64(F.concat_ws(" ", *map(word, range(1, n + 1)))))
+    grams = spoken.select(F.explode(F.array(*map(gram, sizes))).alias("gram")).where("gram is not null")
+    return grams.join(asked, "gram").groupBy("gram").agg(F.count("*").alias("occurrences"))
 
 
 def _scored(graph: DataFrame, seeds: DataFrame, config: PiiConfig) -> DataFrame:
@@ -215,14 +223,18 @@ def find_pii(documents: DataFrame, config: PiiConfig = PiiConfig()) -> DataFrame
     slots = settle(slots.select("row", "start", "end", "state", F.xxhash64("string").alias("instance"), "patterns"))
     led = slots.select("instance", "state", F.explode("patterns").alias("p")).select("instance", "state", "p.*")
     edges = settle(
-        led.groupBy("pattern", "instance").agg(F.first("gram").alias("gram"), F.count("*").alias("n"), (F.max(F.when(F.col("state") != "failed", 1)) == 1).alias("can_be"))
+        led.groupBy("pattern", "instance").agg(F.first("gram").alias("gram"), F.first("size").alias("size"), F.count("*").alias("n"), (F.max(F.when(F.col("state") != "failed", 1)) == 1).alias("can_be"))
+    )
+    supported = edges.groupBy("pattern").agg(
+        F.count(F.when(F.coalesce("can_be", F.lit(False)), 1)).alias("many"), F.sum("n").alias("slots"), F.first("gram").alias("gram"), F.first("size").alias("size")
     )
-    supported = edges.groupBy("pattern").agg(F.count(F.when(F.coalesce("can_be", F.lit(False)), 1)).alias("many"), F.sum("n").alias("slots"), F.first("gram").alias("gram"))
     supported = settle(supported.where(F.col("many") >= config.min_support))
-    asked = settle(supported.where("gram is not null").select("gram").distinct())
-    if asked.count() <= config.broadcast_rows:
+    asked = settle(supported.where("gram is not null").groupBy("gram").agg(F.first("size").alias("size")))
+    many = {r["size"]: r["count"] for r in asked.groupBy("size").count().collect()}
+    asked = asked.select("gram")
+    if sum(many.values()) <= config.broadcast_rows:
         asked = F.broadcast(asked)
-    occurrences = settle(_occurrences(slim, asked, config))
+    occurrences = settle(_occurrences(slim, asked, sorted(many)))
     counted = supported.join(occurrences, "gram", "left").select("pattern", F.greatest("slots", F.coalesce("occurrences", F.lit(0))).alias("occurrences"))
     graph = settle(edges.select("pattern", "instance", "n", F.coalesce("can_be", F.lit(False)).alias("can_be")).join(counted, "pattern"))
     seeds = settle(slots.where("state = 'seed'").select("instance", F.lit(1.0).alias("confidence")).distinct())
