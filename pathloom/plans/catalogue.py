@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import decide, evaluate, ingest, link, locate, merge, metrics, mutate, options, reports, walk
 from ..operators.graph import Graph, elements_from, ordered_union
 from ..operators.lineage import scratch_path
-from ..sources import adjacency, datasets
+from ..sources import adjacency, datasets, ordered
 from ..sources import replies as reply_store
 from ..sources import snapshot
 from ..sources import triples as triple_io
@@ -65,6 +65,13 @@ def nodes_star(t):
     return star_graph(t).nodes
 
 
+@query("ordered_nodes", GRAPH_SQL + "SELECT id, type, name, row_number() OVER (ORDER BY id) - 1 AS position, (row_number() OVER (ORDER BY id) - 1) // 1000 AS page FROM nodes")
+def ordered_nodes(t):
+    nodes = star_graph(t).nodes
+    stored = ordered.write_ordered(nodes, scratch_path(nodes.sparkSession, "ordered"), ["id"])
+    return stored.numbered().withColumn("page", F.floor(F.col("position") / 1000).cast("long"))
+
+
 @query("node_names_index", GRAPH_SQL + "SELECT DISTINCT id, name, lower(name) AS key FROM nodes")
 def node_names_index(t):
     return star_graph(t).names
