@@ -941,6 +941,15 @@ def anonymised_triples(t):
     return datasets.anonymised(triples(t, distinct=True), "s")[0].distinct()
 
 
+@query("anonymised_questions", f"""WITH {_ASK_SQL}, named AS (SELECT a.q, a.question, c.c_name AS c, n.n_name AS n FROM asked a JOIN customer c ON c.c_custkey = a.q JOIN nation n ON n.n_nationkey = c.c_nationkey),
+alias AS (SELECT *, 'Entity ' || substr(sha256('s' || chr(31) || c), 1, 6) AS ca, 'Entity ' || substr(sha256('s' || chr(31) || n), 1, 6) AS na FROM named)
+SELECT q, replace(replace(question, c, ca), n, na) AS question, ca AS topic, true AS topic_in_question FROM alias""")
+def anonymised_questions(t):
+    asked = order_questions(t).join(t.customer.select(F.col("c_custkey").alias("q"), F.array("c_name").alias("start")), "q")
+    names = t.customer.select(F.col("c_name").alias("name")).union(t.nation.select("n_name"))
+    return datasets.anonymised_questions(asked, names, "s").select("q", "question", F.get("start", F.lit(0)).alias("topic"), "topic_in_question")
+
+
 # --- decisions and reports ----------------------------------------------------
 
 @query("opaque_labels", "WITH o AS (SELECT DISTINCT l_suppkey::VARCHAR AS q, l_partkey AS ord FROM lineitem) SELECT q, ord, 'o' || row_number() OVER (PARTITION BY q ORDER BY ord) AS label FROM o")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import derived_id, snake
+from ..operators.lineage import settled
 
 _RECORD = r"^[mg]\."
 
@@ -54,15 +55,66 @@ def union_graph(triples: DataFrame) -> DataFrame:
     return triples.select("subject", "relation", "object").distinct()
 
 
+def alias_of(name: Column, salt: str = "") -> Column:
+    """The alias of an entity's name; numbers and record ids stay."""
+    keep = name.rlike(r"^[0-9.,:-]+$") | name.rlike(_RECORD)
+    return F.when(keep, name).otherwise(derived_id("Entity ", 6, F.lit(salt), name))
+
+
 def anonymised(triples: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame]:
     """Entities under aliases; numbers and record ids stay. Returns the triples and ``(name, alias)``."""
     names = triples.select(F.col("subject").alias("name")).union(triples.select("object")).distinct()
-    keep = F.col("name").rlike(r"^[0-9.,:-]+$") | F.col("name").rlike(_RECORD)
-    aliases = names.select("name", F.when(keep, F.col("name")).otherwise(derived_id("Entity ", 6, F.lit(salt), F.col("name"))).alias("alias"))
+    aliases = names.select("name", alias_of(F.col("name"), salt).alias("alias"))
     out = triples.join(aliases.withColumnsRenamed({"name": "subject", "alias": "s"}), "subject").join(aliases.withColumnsRenamed({"name": "object", "alias": "o"}), "object")
     return out.select(F.col("s").alias("subject"), "relation", F.col("o").alias("object")), aliases
 
 
+#: Words and what stands between them, in turn.
+_PIECES = r"(?U)(\w+|\W+)"
+
+
+def anonymised_questions(questions: DataFrame, names: DataFrame, salt: str = "", least: int = 4) -> DataFrame:
+    """``questions(q, question, start)`` with the names in them under aliases: ``(q, question, start, topic_in_question)``.
+
+    ``start`` is an array of topic names, which are replaced wherever they stand,
+    the longest first, whatever the case; ``topic_in_question`` says whether all
+    were found. Then names of ``names(name)``, or of ``names(q, name)`` where each
+    question has its own, are replaced where they stand as whole words and have
+    ``least`` characters: at each word the longest name that begins there, from
+    the left, no two overlapping; of names that differ in case alone the smallest
+    gives the alias. Runs of words are joined with the names by their text, so a
+    question meets only names that it has. A null question stays null; null
+    names are none.
+    """
+    longest = F.reverse(F.array_sort(F.transform(F.array_compact(F.coalesce("start", F.array().cast("array<string>"))), lambda s: F.struct(F.length(s).alias("n"), s.alias("name")))))
+    literal = lambda name: F.concat(F.lit("(?iu)"), F.regexp_replace(name, r"([\\^$.|?*+()\[\]{}])", r"\\$1"))
+    step = lambda acc, s: F.struct(F.regexp_replace(acc["text"], literal(s["name"]), alias_of(s["name"], salt)).alias("text"), (acc["found"] & F.rlike(acc["text"], literal(s["name"]))).alias("found"))
+    topic = questions.select("q", "start", F.aggregate(longest, F.struct(F.col("question").alias("text"), F.lit(True).alias("found")), step).alias("t"))
+    row = topic.select(F.monotonically_increasing_id().alias("row"), "q", F.transform("start", lambda s: alias_of(s, salt)).alias("start"), F.col("t.text").alias("text"), F.col("t.found").alias("found"), F.regexp_extract_all("t.text", F.lit(_PIECES), F.lit(1)).alias("pieces"))
+    rows = settled(row)
+
+    own = ["q"] if "q" in names.columns else []
+    known = names.where((F.length("name") >= least) & (alias_of(F.col("name"), salt) != F.col("name")) & F.col("name").rlike(r"(?U)^\w(.*\w)?$"))
+    known = known.groupBy(*own, F.lower("name").alias("key")).agg(F.min("name").alias("name"))
+    known = known.select(*own, "key", alias_of(F.col("name"), salt).alias("alias"), F.size(F.regexp_extract_all("name", F.lit(_PIECES), F.lit(1))).alias("size"))
+    known = settled(known)
+    sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]
+    if not sizes:
+        return rows.select("q", F.col("text").alias("question"), "start", F.col("found").alias("topic_in_question"))
+    run = lambda i, n: F.struct((i + 1).alias("at"), F.lit(n).alias("size"), F.lower(F.array_join(F.slice("pieces", i + 1, F.lit(n)), "")).alias("key"))
+    at_words = lambda n: lambda p, i: F.when((i + n <= F.size("pieces")) & p.rlike(r"(?U)^\w"), run(i, n))
+    runs = F.concat(*(F.transform("pieces", at_words(n)) for n in sizes))
+    spoken = rows.select("row", *own, F.explode(F.array_compact(runs)).alias("r")).select("row", *own, "r.*")
+    met = spoken.join(known, [*own, "key", "size"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("size")).alias("less"), "alias"))).alias("met"))
+
+    between = lambda low, high: F.array_join(F.slice("pieces", low, high - low), "")
+    start = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"))
+    take = lambda acc, m: F.when(m["at"] < acc["next"], acc).otherwise(F.struct((m["at"] - m["less"]).alias("next"), F.concat(acc["out"], between(acc["next"], m["at"]), m["alias"]).alias("out")))
+    rest = lambda acc: F.concat(acc["out"], between(acc["next"], F.size("pieces") + 1))
+    new = F.when(F.col("met").isNull(), F.col("text")).otherwise(F.aggregate("met", start, take, rest))
+    return rows.join(met, "row", "left").select("q", new.alias("question"), "start", F.col("found").alias("topic_in_question"))
+
+
 def fanout_pages(questions: DataFrame, most: int = 8) -> DataFrame:
     """``questions(id, decomposition)`` (JSON text) to ``(id, place, page, title)``: the evidence pages in order, each once.
 
