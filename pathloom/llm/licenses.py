@@ -26,6 +26,7 @@ from .scratch import settle
 
 #: Phrases that count wherever their words stand consecutively.
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
+#: Grams of these words alone hit almost any text, so pairs of a text and a template go on only if hits can make a copy.
 _COMMON = frozenset("a an and any are as be by for from in is it of on or that the this to under with you".split())
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,14 +50,13 @@ def default_templates(spark: SparkSession) -> DataFrame:
 
 
 def template_grams(spark: SparkSession, templates: DataFrame | None, config: LicenseConfig) -> DataFrame:
-    """Positions of the phrases' k-grams, and of the templates' that have a less common word."""
+    """Positions of all k-grams of the phrases and the templates."""
     phrases = spark.createDataFrame(list(PHRASES), "label string, text string").withColumn("exact", F.lit(True))
     own = default_templates(spark) if templates is None else templates.select(F.col("label").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     both = phrases.unionByName(own.withColumn("exact", F.lit(False))).distinct()
     words = both.withColumn("template", F.xxhash64("exact", "label", "text")).withColumn("list", words_of(F.col("text")))
     gram = F.transform(F.slice("list", F.lit(1), F.greatest(F.lit(0), F.size("list") - (config.k - 1))), lambda w, i: F.slice("list", i + 1, F.lit(config.k)))
-    rare = lambda g: F.exists(g, lambda w: ~w.isin(*sorted(_COMMON)))
-    placed = words.select("template", "label", "exact", F.size("list").alias("words"), F.posexplode(gram).alias("place", "own")).where(F.col("exact") | rare(F.col("own")))
+    placed = words.select("template", "label", "exact", F.size("list").alias("words"), F.posexplode(gram).alias("place", "own"))
     return placed.select("template", "label", "exact", "words", "place", F.array_join("own", " ").alias("gram")).withColumn("key", F.xxhash64("gram"))
 
 
@@ -160,10 +160,16 @@ def scan_licenses(documents: DataFrame, config: LicenseConfig = LicenseConfig(),
         .agg(F.collect_set("place").alias("places"))
         .withColumn("votes", F.size("places"))
     )
+    # most texts hit a template by common words alone: hits at too few of its places can't make a copy,
+    # and one that must be whole has all its places on a diagonal
+    enough = lambda places: F.size(F.array_distinct(F.flatten(places))) * config.k >= F.lit(config.min_share) * F.col("words")
+    whole = F.col("votes") == F.col("words") - (config.k - 1)
+    voted = votes.where(~F.col("exact") & ((F.col("words") >= config.short_words) | whole))
+    likely = voted.groupBy("row", "template", "words").agg(F.collect_list("places").alias("all")).where(enough(F.col("all"))).select("row", "template")
     # the diagonals around each one that has the most votes, the first of equal ones
     around = Window.partitionBy("row", "template").orderBy("diagonal")
     near = around.rangeBetween(-config.drift, config.drift)
-    copies = votes.where("not exact").select(
+    copies = voted.join(likely, ["row", "template"]).select(
         "row",
         "label",
         "words",
@@ -172,12 +178,11 @@ def scan_licenses(documents: DataFrame, config: LicenseConfig = LicenseConfig(),
         (F.col("votes") > F.coalesce(F.max("votes").over(around.rangeBetween(-config.drift, -1)), F.lit(0))).alias("first"),
     )
     # each hit covers k words at most: fewer can't make the share
-    enough = F.size(F.array_distinct(F.flatten("near.places"))) * config.k >= F.lit(config.min_share) * F.col("words")
-    peaks = copies.where(F.col("top") & F.col("first") & enough)
+    peaks = copies.where(F.col("top") & F.col("first") & enough(F.col("near.places")))
     verified = peaks.mapInArrow(_verify(config), "row long, label string, words int, share double, first int, end int").where("share >= 0")
     gathered = verified.groupBy("row").agg(F.collect_list(F.struct("label", "words", "share", "first", "end")).alias("copies"))
     by_template = gathered.mapInArrow(_compete, "row long, copied array<string>, share double")
-    base = F.col("exact") & (F.col("votes") == F.col("words") - (config.k - 1))
+    base = F.col("exact") & whole
     phrases = votes.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("template").isNull(), F.col("diagonal"))).cast("long").alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),

@@ -142,3 +142,12 @@ def test_competing_copies():
     assert best_copies([copy("b", 1.0, 5, 25), copy("a", 1.0, 0, 20)]) == (["a"], 1.0)  # equal lengths: the earlier
     assert best_copies([copy("a", 1.0, 0, 50), copy("b", 1.0, 10, 20), copy("c", 0.7, 15, 70)]) == (["a"], 1.0)
     assert best_copies([]) == ([], 0.0)
+
+
+def test_runs_of_common_words_count(spark):
+    templates = [("all", "you are under this in that"), ("run", "red of the in this to green"), ("long", "gold is for you and in the of this or that under the " * 2 + "lead")]
+    texts = ["x " + t + " y" for _, t in templates] + ["red of the on this to green", "of the in this to", "you are under this"]
+    texts.append(texts[2].replace("gold", "tin"))
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=spark.createDataFrame(templates, "label string, text string")).collect()}
+    assert [got[i]["labels"] for i in range(7)] == ["all", "run", "long", "", "", "", "long"]
+    assert [got[i]["score"] for i in range(6)] == [1.0, 1.0, 1.0, 0.0, 0.0, 0.0] and 0.8 < got[6]["score"] < 1
