@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import WHITE, column_bytes, give_back, mix, row_pieces, span_hashes, tidy, window_hashes, word_spans
-from .scratch import small_batches
+from .scratch import release, small_batches
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -290,6 +290,7 @@ def fit_line_model(documents: DataFrame, labels: DataFrame, config: QualityConfi
         model = fit_chain(features, labels, config)
     del rows, features, labels
     give_back()
+    release(documents.sparkSession)
     return model
 
 
