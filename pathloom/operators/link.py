@@ -34,6 +34,16 @@ def name_index(names: DataFrame) -> DataFrame:
     return names.where(F.length("name") >= MIN_NAME).select("id", words.alias("words"), F.array_join(words, " ").alias("key"), F.size(words).alias("n")).where("n > 0").distinct()
 
 
+def exact_candidates(asked: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """``asked(q, key)`` to the first ``most`` entries of its key by id: ``(q, id, rank)``.
+
+    A key's entries are cut before they meet those who ask, so a name that many
+    entries and many questions share costs their sum and not their product.
+    """
+    first = first_rows(index.select("key", "id").distinct(), ["key"], ["id"], most, "rank")
+    return asked.join(first, "key").select("q", "id", "rank")
+
+
 def name_idf(index: DataFrame) -> DataFrame:
     """``ln(1 + N/df)`` over the content words of N names."""
     n = index.select(F.count("*").alias("total"))

@@ -1055,9 +1055,8 @@ def loose_accuracy(t):
 @query("linked_choice", f"""WITH {_PART_INDEX_SQL}, c AS (SELECT p_partkey AS q, id, row_number() OVER (PARTITION BY p_partkey ORDER BY id) AS rank FROM part JOIN idx ON key = array_to_string(regexp_extract_all(lower(p_name), '[\\p{{L}}\\p{{N}}_]+'), ' ')) SELECT q, max(id) AS id, 0.9::DOUBLE AS p FROM c WHERE rank <= 8 GROUP BY q""")
 def linked_choice(t):
     keys = t.part.select(F.col("p_partkey").alias("q"), F.array_join(X.tokens(F.col("p_name")), " ").alias("key"))
-    place = Window.partitionBy("q").orderBy("id")
-    found = keys.join(part_index(t).select("key", "id"), "key").withColumn("rank", F.row_number().over(place)).select("q", "id", "rank")
-    decided = found.where("rank <= 8").groupBy("q").agg(F.max("id").alias("id")).withColumn("p", F.lit(0.9))
+    found = link.exact_candidates(keys, part_index(t), 8)
+    decided = found.groupBy("q").agg(F.max("id").alias("id")).withColumn("p", F.lit(0.9))
     return options.choose_entry(found, decided)
 
 
