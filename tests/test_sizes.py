@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import link, options
+from pathloom.operators import link, options, reports
 
 
 def most_rows(frame):
@@ -31,3 +31,11 @@ def test_entries_of_a_shared_name_are_cut_before_the_join(spark):
     rows, most = most_rows(options.choose_entry(found, found.groupBy("q").agg(F.max("id").alias("id")).withColumn("p", F.lit(0.9))))
     first = sorted(f"p:{i}" for i in range(3000))[:8]
     assert len(rows) == 3000 and {r["id"] for r in rows} == {first[-1]} and most <= 8 * 3000
+
+
+def test_recall_meets_each_name_once(spark):
+    gold = spark.range(2000).select(F.col("id").alias("question_id"), F.lit("red bolt").alias("name")).union(spark.createDataFrame([(1, "none")], "question_id long, name string"))
+    names = spark.range(2000).select(F.lit("red bolt").alias("key"), F.col("id").cast("string").alias("id"))
+    (row,), most = most_rows(reports.entity_recall(gold, names))
+    assert (row["gold"], row["found"], row["split"], row["over_merged"], row["recall"]) == (2, 1, 1, 0, 0.5)
+    assert most <= 3000
