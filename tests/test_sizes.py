@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from pathloom.operators import link, options, reports
+from pathloom.operators.graph import Graph
+from pathloom.sources import adjacency
 
 
 def most_rows(frame):
@@ -39,3 +41,21 @@ def test_recall_meets_each_name_once(spark):
     (row,), most = most_rows(reports.entity_recall(gold, names))
     assert (row["gold"], row["found"], row["split"], row["over_merged"], row["recall"]) == (2, 1, 1, 0, 0.5)
     assert most <= 3000
+
+
+def hub(spark, n):
+    """``n`` customers of one nation, each with an order."""
+    lives = spark.range(n).select(F.concat(F.lit("c:"), "id").alias("source"), F.lit("lives_in").alias("type"), F.lit("n:0").alias("target"))
+    placed = spark.range(n).select(F.concat(F.lit("o:"), "id").alias("source"), F.lit("placed_by").alias("type"), F.concat(F.lit("c:"), "id").alias("target"))
+    edges = lives.union(placed)
+    ids = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    return Graph(ids.select("id", F.lit("x").alias("type"), F.col("id").alias("name")), edges)
+
+
+def test_relations_around_a_hub_are_counted_before_the_join(spark):
+    g = hub(spark, 2000)
+    starts = g.nodes.where("id like 'c:%'").select(F.col("id").alias("start"), F.col("id").alias("node"))
+    for graph in (g, adjacency.stored_for_now(g, 4)):
+        rows, most = most_rows(graph.local_relations(starts, 2, 1 << 30))
+        assert {(r["rel"], r["n"]) for r in rows} == {("lives_in", 2001), ("placed_by", 2)} and len(rows) == 4000
+        assert most <= 40_000
