@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pathloom.operators import link, options, reports
+from pathloom.operators import link, options, reports, walk
 from pathloom.operators.graph import Graph
 from pathloom.sources import adjacency
 
@@ -59,3 +59,35 @@ def test_relations_around_a_hub_are_counted_before_the_join(spark):
         rows, most = most_rows(graph.local_relations(starts, 2, 1 << 30))
         assert {(r["rel"], r["n"]) for r in rows} == {("lives_in", 2001), ("placed_by", 2)} and len(rows) == 4000
         assert most <= 40_000
+
+
+def standing(spark, rows):
+    """Beams of ``(q, frontier, visited)``."""
+    frame = spark.createDataFrame(rows, "q string, frontier array<string>, visited array<string>")
+    return frame.select("q", F.lit("which orders").alias("question"), F.lit(1).cast("long").alias("beam"), "frontier", "visited")
+
+
+def test_beams_at_a_hub_get_its_first_targets_without_a_row_for_each_of_all(spark):
+    g, config = hub(spark, 2000), walk.WalkConfig(unit="relation", max_frontier=5)
+    beams = standing(spark, [(f"q{i}", ["n:0"], [f"c:{i}", "n:0"]) for i in range(2000)])
+    for graph in (g, adjacency.stored_for_now(g, 4)):
+        rows, most = most_rows(walk.expand(graph, beams, config))
+        first = sorted(f"c:{i}" for i in range(2000))
+        got = {r["q"]: r["targets"] for r in rows}
+        assert all(got[f"q{i}"] == [c for c in first if c != f"c:{i}"][:5] for i in range(2000)) and most <= 20_000
+
+
+def test_listed_moves_are_the_same_as_met_ones(spark, monkeypatch):
+    own = [(f"x{i % 7}", f"r{i % 2}", f"x{(i * i) % 11}") for i in range(60)] + [("x0", "r0", None), ("x1", "r0", "x1"), ("x0", "r0", "x3")]
+    edges = spark.createDataFrame(own, "source string, type string, target string")
+    g = Graph(spark.createDataFrame([(f"x{i}", "x", f"X {i}") for i in range(11)], "id string, type string, name string"), edges)
+    places = [(f"q{i}", [f"x{(i + j) % 11}" for j in range(1 + i % 3)], [f"x{(i + j * j) % 11}" for j in range(5)] + [None] * (i % 2)) for i in range(40)]
+    beams = standing(spark, places)
+    for limit in (1, 2, 50):
+        for directions in ("both", "out", "in"):
+            config = walk.WalkConfig(unit="relation", max_frontier=limit, directions=directions)
+            got = []
+            for most in (10**9, 0, 8):
+                monkeypatch.setattr(walk, "SHARED", most)
+                got.append(sorted(map(str, walk.expand(g, beams, config).select("q", "beam", "ord", "rel", "dir", "targets").collect())))
+            assert got[0] and got[0] == got[1] == got[2]
