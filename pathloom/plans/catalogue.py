@@ -352,8 +352,9 @@ def frontier_cap_near(t):
     g = star_graph(t)
     here = g.nodes.select(F.col("id").alias("node"), F.concat(F.lit("parts almond with a "), "type", F.lit(" like "), "name").alias("question"))
     names = g.nodes.select(F.col("id").alias("other"), "name")
-    targets = g.adjacency.join(here, "node").join(names, "other", "left").withColumn("name", F.coalesce("name", "other"))
-    return walk.cap_targets_near(targets, ["node", "rel", "dir"], ["other"], 3).select("node", "rel", "dir", "other", "n")
+    # the questions come last: what is dealt by the other node is moves alone, and the groups lie where their questions met them
+    named = g.adjacency.join(names, "other", "left").withColumn("name", F.coalesce("name", "other"))
+    return walk.cap_targets_near(named.join(here, "node"), ["node", "rel", "dir"], ["other"], 3).select("node", "rel", "dir", "other", "n")
 
 
 @query("frontier_cap_hubs", GRAPH_SQL + ", ranked AS (SELECT rel, dir, node, other, row_number() OVER (PARTITION BY rel, dir ORDER BY node, other) AS n FROM adj) SELECT rel, dir, node, other, n::INTEGER AS n FROM ranked WHERE n <= 2000")

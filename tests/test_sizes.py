@@ -1,9 +1,12 @@
 """What a hot key costs: rows made within plans, which must not grow with products of group sizes."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pathloom.operators import link, options, reports, walk
 from pathloom.operators.graph import Graph
+from pathloom.plans import catalogue
 from pathloom.sources import adjacency
 
 
@@ -91,3 +94,12 @@ def test_listed_moves_are_the_same_as_met_ones(spark, monkeypatch):
                 monkeypatch.setattr(walk, "SHARED", most)
                 got.append(sorted(map(str, walk.expand(g, beams, config).select("q", "beam", "ord", "rel", "dir", "targets").collect())))
             assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_near_targets_are_ranked_where_their_questions_met_them(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables would be small enough to be sent
+    try:
+        plan = catalogue.queries()["frontier_cap_near"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(node#\d+, \d", plan) and not re.search(r"hashpartitioning\(node#\d+, rel#\d+", plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
