@@ -103,3 +103,11 @@ def test_near_targets_are_ranked_where_their_questions_met_them(spark):
         assert re.search(r"hashpartitioning\(node#\d+, \d", plan) and not re.search(r"hashpartitioning\(node#\d+, rel#\d+", plan)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_relations_are_read_without_joining_nodes(spark):
+    g = hub(spark, 20)
+    for graph in (g, adjacency.stored_for_now(g, 4)):
+        relations = graph.relations()
+        assert {r["type"] for r in relations.collect()} == {"lives_in", "placed_by"}
+        assert "Join" not in relations._jdf.queryExecution().executedPlan().toString()
